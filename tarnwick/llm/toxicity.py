@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 7).
 
 Confirmed toxic documents are the positives; a hashed sample of all training documents, whatever their labels, is the
-unlabelled set. A linear model over word presence minimises pi*R_p(+) + max(0, R_u(-) - pi*R_p(-)) in numpy, pi being
+unlabelled set. A linear model over the presence of words and word starts minimises pi*R_p(+) + max(0, R_u(-) - pi*R_p(-)) in numpy, pi being
 the class prior. Only weighted words are broadcast (at most ``most_words``).
 
 Bounds on the fit: ``most_positive`` and ``most_unlabelled`` documents. Labels, lang, source and doc_id are no inputs.
@@ -24,7 +24,10 @@ _LETTERS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if
 
 
 def words_of(text: bytes | None) -> set[bytes]:
-    return set((text or b"").translate(_LETTERS).split())
+    """Distinct lower-case words, and the longer ones' first 4 to 8 bytes marked with ^."""
+    words = set((text or b"").translate(_LETTERS).split())
+    starts = {b"^" + w[:k] for w in words for k in (4, 5, 6, 7, 8) if len(w) > k}
+    return words | starts
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int) -> tuple[list, float]:
@@ -48,7 +51,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most
     return [(r[0], r[1], r[2]) for r in d.mapInArrow(gather, "words binary, positive boolean, drawn boolean").collect()], float(prior)
 
 
-def nnpu(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_features: int, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def nnpu(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_features: int, steps: int = 500, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias. rows: feature ids of each document; positive, unlabelled: which documents are in either set."""
     flat, lens = np.concatenate([np.zeros(0, np.int64), *rows]), np.array([len(x) for x in rows])
     doc = np.repeat(np.arange(len(rows)), lens)
@@ -83,8 +86,9 @@ def fit(sample: list, prior: float, most_words: int) -> tuple[dict[bytes, float]
             if is_p:
                 in_p[x] = in_p.get(x, 0) + 1
     base = max(1, positive.sum()) / len(docs)
-    lift = {x: abs(np.log((in_p.get(x, 0) + 1) / (n * base + 1))) * np.sqrt(n) for x, n in in_all.items() if n >= 3}
-    kept = sorted(lift, key=lambda x: (-lift[x], x))[:most_words]
+    # Words that positives hold significantly more often than their share of the sample: a few, so few to overfit.
+    excess = {x: (k - in_all[x] * base) / np.sqrt(in_all[x] * base * (1 - base) + 0.1) for x, k in in_p.items() if k >= 3}
+    kept = sorted((x for x, z in excess.items() if z >= 4), key=lambda x: (-excess[x], x))[:most_words]
     index = {x: i for i, x in enumerate(kept)}
     rows = [np.array([index[x] for x in words if x in index], np.int64) for words in docs]
     w, bias = nnpu(rows, positive, drawn, prior, len(kept))
@@ -98,7 +102,7 @@ def fit(sample: list, prior: float, most_words: int) -> tuple[dict[bytes, float]
     return {x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-3}, bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 6000, most_words: int = 20_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 6000, most_words: int = 10_000) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, toxic) -> doc_id, held_out, score, predicted."""
     sample, prior = training_sample(docs, labels, most_positive, most_unlabelled)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample, prior, most_words))
