@@ -43,3 +43,31 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _murmur3(v: int, seed: int = 42) -> int:
+    """Spark's hash() of a bigint."""
+    m = 0xFFFFFFFF
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & m
+    h = seed
+    for k in (v & m, (v >> 32) & m):
+        k = rot(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & m
+    h ^= 8
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & m
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def even_keys(n: int, parts: int) -> list[int]:
+    """n bigints that hash partitioning deals evenly over parts partitions, so that buckets don't collide by chance."""
+    quota, found, v = [0] * parts, [], 0
+    most = -(-n // parts)
+    while len(found) < n:
+        p = _murmur3(v) % parts
+        if quota[p] < most:
+            quota[p] += 1
+            found.append(v)
+        v += 1
+    return found

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_knn, quality_rules, token_counts, toxicity
+from . import lattice_lm, mixing, packing, quality_knn, quality_rules, token_counts, toxicity
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lattice_scores(documents(spark, sf_dir), _tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_karmarkar_karp_packing, op4_source_mixing, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules)
+    for f in (op3_karmarkar_karp_packing, op4_source_mixing, op6_lattice_likelihood, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules)
 }
 
 SQL: dict[str, str] = {}

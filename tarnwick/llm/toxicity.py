@@ -11,6 +11,7 @@ any positive the model is the prior alone; a null doc_id is not held out; repeat
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(sorted(words_of(x.as_py()))) for x in b.column(0)], pa.binary()), b.column(1), b.column(2)], names=["words", "positive", "drawn"])
+            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(set((x.as_py() or b"").translate(_LETTERS).split())) for x in b.column(0)], pa.binary()), b.column(1), b.column(2)], names=["words", "positive", "drawn"])
 
     return [(r[0], r[1], r[2]) for r in d.mapInArrow(gather, "words binary, positive boolean, drawn boolean").collect()], float(prior)
 
@@ -75,22 +76,22 @@ def fit(sample: list, prior: float, most_words: int) -> tuple[dict[bytes, float]
     if not sample:
         return {}, -10.0
     prior = min(max(prior, 1e-4), 0.9)
-    docs = [x[0].split() for x in sample]
     positive, drawn = np.array([x[1] for x in sample], bool), np.array([x[2] for x in sample], bool)
     drawn = drawn if drawn.any() else np.ones(len(sample), bool)
-    in_p: dict[bytes, int] = {}
-    in_all: dict[bytes, int] = {}
-    for words, is_p in zip(docs, positive, strict=True):
-        for x in words:
-            in_all[x] = in_all.get(x, 0) + 1
-            if is_p:
-                in_p[x] = in_p.get(x, 0) + 1
-    base = max(1, positive.sum()) / len(docs)
+    in_p: Counter = Counter()
+    for words, is_p, _ in sample:
+        if is_p:
+            in_p.update(words_of(words))
+    in_p = {x: n for x, n in in_p.items() if n >= 3}
+    in_all: Counter = Counter()
+    for words, _, _ in sample:
+        in_all.update(in_p.keys() & words_of(words))
+    base = max(1, positive.sum()) / len(sample)
     # Words that positives hold significantly more often than their share of the sample: a few, so few to overfit.
-    excess = {x: (k - in_all[x] * base) / np.sqrt(in_all[x] * base * (1 - base) + 0.1) for x, k in in_p.items() if k >= 3}
+    excess = {x: (k - in_all[x] * base) / np.sqrt(in_all[x] * base * (1 - base) + 0.1) for x, k in in_p.items()}
     kept = sorted((x for x, z in excess.items() if z >= 4), key=lambda x: (-excess[x], x))[:most_words]
     index = {x: i for i, x in enumerate(kept)}
-    rows = [np.array([index[x] for x in words if x in index], np.int64) for words in docs]
+    rows = [np.array(sorted(index[x] for x in index.keys() & words_of(words)), np.int64) for words, _, _ in sample]
     w, bias = nnpu(rows, positive, drawn, prior, len(kept))
     z = np.array([w[r].sum() + bias for r in rows])
     # The decision threshold: where the unlabelled set has the prior's share above it, at the widest gap near there.
