@@ -163,14 +163,28 @@ def history(ids: np.ndarray, copy_discount: float, prior: float) -> tuple[np.nda
     order = np.argsort(ids, kind="stable")
     first = np.ones(n, bool)
     first[1:] = ids[order][1:] != ids[order][:-1]
-    new = np.zeros(n, np.int64)
+    new = np.zeros(n, np.int32)
     new[order[first]] = 1
-    types = np.cumsum(new) - new
-    counts = np.diff(np.append(np.flatnonzero(first), n))
+    types = np.cumsum(new, dtype=np.int32) - new
+    counts = np.diff(np.append(np.flatnonzero(first), n)).astype(np.int32)
     fixed = np.log10(prior + copy_discount * np.arange(len(counts))).sum() - np.log10(np.arange(n) + prior).sum()
     return ids[order[first]], counts, types[order][~first], float(fixed)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most that many bytes of text, or one row: they bound a worker's memory."""
+    for batch in batches:
+        start = size = 0
+        for i, x in enumerate(batch.column(2)):
+            n = len(x.as_buffer()) if x.is_valid else 0
+            if size and size + n > most:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if batch.num_rows:
+            yield batch.slice(start)
+
+
 def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float):
     """Documents -> rows (bucket, block, kind, words, a, b, c, d, e); kind 1 holds a block's documents."""
 
@@ -178,21 +192,22 @@ def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float)
         import xxhash
 
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in _cut(batches):
             held = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             index, uses, n_tokens, fixed = _Ids(), [], [], []
             index[b""]  # the end token
             for x in batch.column(2):
                 words = (x.as_py() or b"").lower().split()
                 words.append(b"")
-                uses.append(history(np.fromiter(map(index.__getitem__, words), np.int64, len(words)), copy_discount, prior))
+                uses.append(history(np.fromiter(map(index.__getitem__, words), np.int32, len(words)), copy_discount, prior))
                 n_tokens.append(len(words))
                 fixed.append(uses[-1][3])
             which = np.concatenate([u[0] for u in uses])
             times = np.concatenate([u[1] for u in uses])
-            later = np.concatenate([u[2] for u in uses]).astype(np.int32)
-            later_ends = np.append(0, np.cumsum(times - 1))
-            doc = np.repeat(np.arange(len(uses)), [len(u[0]) for u in uses])
+            later = np.concatenate([u[2] for u in uses])
+            later_ends = np.append(0, np.cumsum(times - 1, dtype=np.int64))
+            doc = np.repeat(np.arange(len(uses), dtype=np.int32), [len(u[0]) for u in uses])
+            uses.clear()
             trained = np.bincount(which, times * ~held[doc], minlength=len(index)).astype(np.int64)
             words = list(index)
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
@@ -200,14 +215,15 @@ def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float)
             place = np.empty(len(by), np.int64)
             ends = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
             place[by] = np.arange(len(by)) - ends[bucket[by]]
-            use_order = np.argsort(bucket[which], kind="stable")
-            use_ends = np.searchsorted(bucket[which][use_order], np.arange(n_buckets + 1))
+            use_bucket = bucket.astype(np.int32)[which]
+            use_order = np.argsort(use_bucket, kind="stable").astype(np.int32)
+            use_ends = np.append(0, np.cumsum(np.bincount(use_bucket, minlength=n_buckets)))
             out = []
             for k in range(n_buckets):
                 own, u = by[ends[k] : ends[k + 1]], use_order[use_ends[k] : use_ends[k + 1]]
                 if len(own):
                     at = later[np.repeat(later_ends[u] - np.append(0, np.cumsum(times[u] - 1))[:-1], times[u] - 1) + np.arange((times[u] - 1).sum())]
-                    out.append((keys[k], block, 0, zstandard.compress(b"\n".join(words[i] for i in own), 1), *_press(trained[own], place[which[u]].astype(np.int32), doc[u].astype(np.int32), times[u].astype(np.int32), at)))
+                    out.append((keys[k], block, 0, zstandard.compress(b"\n".join(words[i] for i in own), 1), *_press(trained[own], place[which[u]].astype(np.int32), doc[u], times[u], at)))
             ids = np.array([-1 if v is None else v for v in batch.column(0).to_pylist()], np.int64)
             null = np.array([v is None for v in batch.column(0).to_pylist()], np.int8)
             out.append((keys[block % n_buckets], block, 1, b"", *_press(ids, held.astype(np.int8), np.array(n_tokens, np.int64), null, np.array(fixed))))
@@ -252,7 +268,7 @@ def _words(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
     return (zstandard.decompress(words).split(b"\n") if len(c) else []), c
 
 
-def lattice_scores(docs: DataFrame, path: str, rounds: int = 2, discount: float = 0.75, copy_discount: float = 0.85, prior: float = 20.0) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, rounds: int = 2, discount: float = 0.7, copy_discount: float = 0.9, prior: float = 20.0) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     n_buckets = partitions(spark)
