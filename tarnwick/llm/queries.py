@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_ann, lattice_lm, mixing, packing, quality_knn, quality_rules, token_counts, toxicity
+from . import additive_ann, lattice_lm, mixing, ngram_join, packing, quality_knn, quality_rules, token_counts, toxicity
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), words=3, percent=90)
+
+
 def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lattice_scores(documents(spark, sf_dir), _tokenizer_file("piece_bpe_32k.model"))
 
@@ -56,7 +60,7 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_additive_neighbours, op3_karmarkar_karp_packing, op4_source_mixing, op6_lattice_likelihood, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules)
+    for f in (op2_additive_neighbours, op3_karmarkar_karp_packing, op4_source_mixing, op5_ngram_jaccard_join, op6_lattice_likelihood, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules)
 }
 
 SQL: dict[str, str] = {}
