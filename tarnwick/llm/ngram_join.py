@@ -257,8 +257,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, hea
     shorter = member.where("reach >= n").select(F.col("token").alias("t"), F.col("n").alias("m"), F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("reach").alias("reach_b"))
     kinds = shorter.groupBy("t", "m").agg(F.min("label_b").alias("low"), F.max("label_b").alias("high")).select(F.col("t").alias("kt"), F.col("m").alias("km"), "low", "high")
     top = F.least(F.col("n"), F.col("reach"))
-    longer = member.withColumn("from", F.ceil(F.col("n") * percent / 100).cast("long")).where(top >= F.col("from")).withColumn("m", F.explode(F.sequence(F.col("from"), top)))
-    longer = longer.join(kinds, (F.col("token") == F.col("kt")) & (F.col("m") == F.col("km"))).where("low <> high OR low <> label").select("token", F.col("m").alias("want"), "cid", "n", "label")
+    lowest = F.ceil(F.col("n") * percent / 100).cast("long")
+    met = (F.col("token") == F.col("kt")) & (F.col("km") >= lowest) & (F.col("km") <= top) & ((F.col("low") != F.col("high")) | (F.col("low") != F.col("label")))
+    longer = member.join(kinds, met).select("token", F.col("km").alias("want"), "cid", "n", "label")
     rest = longer.join(shorter, (F.col("token") == F.col("t")) & (F.col("want") == F.col("m"))).where("label <> label_b AND n <= reach_b")
     rest = rest.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
