@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_ann, lattice_lm, mixing, ngram_join, packing, quality_knn, quality_rules, token_counts, toxicity
+from . import additive_ann, lattice_lm, mixing, ngram_join, packing, quality_knn, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op2_additive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -60,7 +64,7 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_additive_neighbours, op3_karmarkar_karp_packing, op4_source_mixing, op5_ngram_jaccard_join, op6_lattice_likelihood, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules)
+    for f in (op1_suffix_array_dedup, op2_additive_neighbours, op3_karmarkar_karp_packing, op4_source_mixing, op5_ngram_jaccard_join, op6_lattice_likelihood, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules)
 }
 
 SQL: dict[str, str] = {}
