@@ -203,25 +203,35 @@ def _lists(percent: int, bits: int, sent, heavy: int, short: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose whole sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = wanted.join(classes, F.col("c") == F.col("cid")).select(F.col("rep").alias("wanted_id")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, most_sent: int = 2_000_000) -> DataFrame:
+    """Those of pairs(a, b) whose whole sets reach the similarity.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Hashes()
+    The wanted classes' texts are found by a broadcast of their ids while those are at most most_sent, else by a
+    shuffle. Texts travel, not sets: they compress. Merge joins throughout, whose large keys can be split.
+    """
+    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    wanted = materialize(wanted.join(classes, F.col("c") == F.col("cid")).select("c", F.col("rep").alias("wanted_id")), "ngram-wanted")
+    small = wanted.count() <= most_sent
+    held = docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("c", "text")
+    held = materialize(held, "ngram-texts")
+    one = pairs.hint("merge").join(held.select(F.col("c").alias("cb"), F.col("text").alias("text_b")), F.col("b") == F.col("cb")).select("a", "b", "text_b")
+    two = one.hint("merge").join(held.select(F.col("c").alias("ca"), F.col("text").alias("text_a")), F.col("a") == F.col("ca"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, at, last = Hashes(), None, None
         for batch in batches:
-            h = [shingles(x.as_py(), words, cache) for x in batch.column(0)]
-            ends = np.append(0, np.cumsum([len(x) for x in h])).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in h], pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["c", "set"])
-
-    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text").mapInArrow(sets, "c long, set array<long>")
-    held = materialize(held.dropDuplicates(["c"]), "ngram-sets")
-    one = pairs.join(held.select(F.col("c").alias("cb"), F.col("set").alias("set_b")), F.col("b") == F.col("cb")).select("a", "b", "set_b")
-    two = one.join(held.select(F.col("c").alias("ca"), F.col("set").alias("set_a")), F.col("a") == F.col("ca"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return two.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+            a, b, ok = batch.column(0), batch.column(1), []
+            for i in range(batch.num_rows):
+                if at is None or a[i].as_py() != at:
+                    at, last = a[i].as_py(), shingles(batch.column(3)[i].as_py(), words, cache)
+                other = shingles(batch.column(2)[i].as_py(), words, cache)
+                both = len(np.intersect1d(last, other, assume_unique=True))
+                ok.append(100 * both >= percent * (len(last) + len(other) - both) and class_of(last) == at and class_of(other) == b[i].as_py())
+                if class_of(last) != at:
+                    at = None  # a repeated id with another text
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return two.select("a", "b", "text_b", "text_a").mapInArrow(check, "a long, b long")
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, heavy: int = 4096, bits: int = 20) -> DataFrame:
