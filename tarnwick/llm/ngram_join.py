@@ -74,19 +74,20 @@ def _first_pass(words: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sketch = Hashes(), np.zeros(1 << bits, np.uint32)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("marks", pa.list_(pa.int64())), ("payload", pa.binary())])
         for batch in batches:
-            n, cid = [], []
+            n, cid, marks = [], [], []
             for x in batch.column(1):
                 h = shingles(x.as_py(), words, cache)
                 n.append(len(h))
                 cid.append(class_of(h) if len(h) else None)
+                marks.append(bitmap(h))
                 if len(h):
                     np.add.at(sketch, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.nulls(len(n), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.ListArray.from_arrays(np.arange(0, 16 * len(n) + 1, 16, dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *marks])), pa.nulls(len(n), pa.binary())], schema=schema)
         if sketch.any():
             parts = [zstandard.compress(s.tobytes(), 1) for s in np.split(sketch, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -120,6 +121,20 @@ def _sketch(first: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def quantised(sketch: np.ndarray) -> np.ndarray:
+    """Eighths of log2 of the counts above the median cell's chance load, in a byte each."""
+    over = np.maximum(sketch.astype(np.int64) - int(np.median(sketch)), 0)
+    return np.minimum(np.round(8 * np.log2(over + 1)), 255).astype(np.uint8)
+
+
+_COUNT = np.maximum(2 ** (np.arange(256) / 8) - 1, 1)
+
+
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """1024 parities of a set as 16 bigints: two sets' bitmaps differ in at most as many bits as the sets in members."""
+    return np.packbits((np.bincount(((h >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view("<i8")
+
+
 def prefix(h: np.ndarray, counts: np.ndarray, percent: int, longest: int = 4, verify: float = 2.0) -> tuple[np.ndarray, int]:
     """The ordered prefix of a set and its l. counts: estimated classes that hold each shingle of h."""
     order = np.lexsort((h, np.log2(counts + 1).astype(np.int64)))
@@ -136,7 +151,6 @@ def prefix(h: np.ndarray, counts: np.ndarray, percent: int, longest: int = 4, ve
 def _prefixes(words: int, bits: int, percent: int, sent, heavy: int, n_buckets: int, keys: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sketch = Hashes(), sent.value
-        floor = int(np.median(sketch))  # chance neighbours in a cell
         for batch in batches:
             seen: set[int] = set()
             cols: list[list] = [[], [], [], [], []]
@@ -145,14 +159,14 @@ def _prefixes(words: int, bits: int, percent: int, sent, heavy: int, n_buckets:
                 if not len(h) or (c := class_of(h)) in seen:
                     continue
                 seen.add(c)
-                est = np.maximum(sketch[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64) - floor, 1)
+                est = _COUNT[sketch[(h >> np.uint64(64 - bits)).astype(np.int64)]]
                 p, ell = prefix(h, est, percent)
                 for col, v in zip(cols, (p, np.full(len(p), c, np.int64), np.full(len(p), len(h), np.int32), np.arange(len(p), dtype=np.int32), np.full(len(p), ell, np.int32)), strict=True):
                     col.append(v)
             if not seen:
                 continue
             tok, cid, n, pos, ell = map(np.concatenate, cols)
-            est = sketch[(tok >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64) - floor
+            est = _COUNT[sketch[(tok >> np.uint64(64 - bits)).astype(np.int64)]]
             bucket = (np.where(est >= heavy, (tok ^ cid.astype(np.uint64)) * _A >> _S, tok >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64)
             by = np.lexsort((tok, bucket))
             ends = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
@@ -183,8 +197,7 @@ def _lists(percent: int, bits: int, sent, heavy: int, short: int):
         starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
         sizes = np.diff(np.append(starts, len(tok)))
         size = np.repeat(sizes, sizes)
-        sketch = sent.value
-        est = sketch[(tok >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64) - int(np.median(sketch))
+        est = _COUNT[sent.value[(tok >> np.uint64(64 - bits)).astype(np.int64)]]
         long = (est >= heavy) | (size > short)
         out = []
         for k in range(1, short):
@@ -206,9 +219,14 @@ def _lists(percent: int, bits: int, sent, heavy: int, short: int):
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, most_sent: int = 2_000_000) -> DataFrame:
     """Those of pairs(a, b) whose whole sets reach the similarity.
 
-    The wanted classes' texts are found by a broadcast of their ids while those are at most most_sent, else by a
+    First the classes' bitmaps drop pairs that differ in more shingles than the similarity allows, exactly so. The
+    wanted classes' texts are found by a broadcast of their ids while those are at most most_sent, else by a
     shuffle. Texts travel, not sets: they compress. Merge joins throughout, whose large keys can be split.
     """
+    side = lambda x: classes.select(F.col("cid").alias(f"c{x}"), F.col("size").alias(f"n{x}"), F.col("marks").alias(f"m{x}"))
+    near = pairs.hint("merge").join(side("a"), F.col("a") == F.col("ca")).hint("merge").join(side("b"), F.col("b") == F.col("cb"))
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = materialize(near.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "ngram-near")
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     wanted = materialize(wanted.join(classes, F.col("c") == F.col("cid")).select("c", F.col("rep").alias("wanted_id")), "ngram-wanted")
     small = wanted.count() <= most_sent
@@ -234,16 +252,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return two.select("a", "b", "text_b", "text_a").mapInArrow(check, "a long, b long")
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, heavy: int = 4096, bits: int = 20) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, heavy: int = 4096, bits: int = 22) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    first = docs.mapInArrow(_first_pass(words, bits), "kind int, doc_id long, n long, cid long, payload binary")
+    first = docs.mapInArrow(_first_pass(words, bits), "kind int, doc_id long, n long, cid long, marks array<long>, payload binary")
     first = materialize(first, "ngram-classes")
     rows = first.where("kind = 0").select("doc_id", "n", "cid")
-    classes = materialize(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep")), "ngram-reps")
+    sets = first.where("kind = 0 AND n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size"), F.first("marks").alias("marks"))
+    classes = materialize(sets, "ngram-reps")
 
-    sent, p = spark.sparkContext.broadcast(_sketch(first, bits)), partitions(spark)
+    sent, p = spark.sparkContext.broadcast(quantised(_sketch(first, bits))), partitions(spark)
     dealt = docs.select("text").mapInArrow(_prefixes(words, bits, percent, sent, heavy, p, even_keys(p, p)), "bucket long, tok binary, cid binary, n binary, pos binary, ell binary")
     found = materialize(dealt.groupBy("bucket").applyInArrow(_lists(percent, bits, sent, heavy, short), _FOUND), "ngram-lists")
 
