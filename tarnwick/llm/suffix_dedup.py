@@ -453,7 +453,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataF
     p = partitions(spark)
     heavy = spark.sparkContext.broadcast(heavy_anchors(docs, width))
     blocks = _bucketed(docs.mapInArrow(_blocks(width, heavy), _BLOCK), "block", p, "suffix_blocks")
-    dealt = blocks.select("block", "anchors", "hashes", "weights").mapInArrow(_deal(p, even_keys(p, p)), "bucket long, block long, anchors binary, hashes binary, weights binary, local binary")
+    dealt = blocks.select("block", "anchors", "hashes", "weights").mapInArrow(_deal(4 * p, even_keys(4 * p, p)), "bucket long, block long, anchors binary, hashes binary, weights binary, local binary")
     decided = materialize(dealt.groupBy("bucket").applyInArrow(_decide, _DECIDED), "suffix-pieces")
     asked = decided.where("kind = 1").select(F.col("at").alias("to_block"), "other", "a", "b")
     own = blocks.select("block", "text", "starts", "windows", "which")
