@@ -1 +1,17 @@
+"""Scalar functions that Spark lacks, built of its own."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """All runs of n words of an array, joined by a blank."""
+    at = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
+    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def ascii_words(text: Column) -> Column:
+    """Words between ASCII white space; null text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))

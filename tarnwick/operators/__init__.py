@@ -1 +1 @@
-
+"""Operators that Spark lacks, composed of DataFrame operations."""

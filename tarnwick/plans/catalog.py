@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwick.functions import ascii_words, ngrams
+from tarnwick.operators.frames import groups_frame_sum, sessions, sum_excluding_current
+from tarnwick.operators.joins import asof_join, inner_product, range_join
+from tarnwick.sources import TABLES, table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -21,8 +27,16 @@ def query(sql: str | None) -> Callable:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def plain(name: str, sql: str, spark_sql: str | None = None) -> None:
+    """A query stated in SQL for both engines (spark_sql where the dialects differ)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
+        return spark.sql(re.sub(r"\b(" + "|".join(tables) + r")\b(?=[\s,)]|$)", r"{\1}", spark_sql or sql), **tables)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    SQL[name] = sql
 
 
 @query("""
@@ -38,3 +52,88 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+plain("pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
+"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
+plain("filter_project", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
+plain("left_join_counts", "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+plain("full_outer_join", "SELECT count(*) AS n, count(o_orderkey) AS n_left, count(l_orderkey) AS n_right FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 500) o FULL OUTER JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey > 250 AND l_orderkey < 900) l ON o_orderkey = l_orderkey")
+plain("semi_join_exists", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+plain("anti_join", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+plain("correlated_scalar", "SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) * 1.5 FROM customer d WHERE d.c_nationkey = c.c_nationkey)")
+plain("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+plain("cube_counts", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
+plain("rollup_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+plain("filtered_aggregates", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 200000) AS n_large, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY o_orderstatus")
+plain("having_top", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) >= 40")
+plain("rank_functions", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr FROM (SELECT * FROM orders WHERE o_custkey < 60) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+"SELECT o_orderkey, cast(row_number() OVER w AS bigint) AS rn, cast(rank() OVER w AS bigint) AS rk, cast(dense_rank() OVER w AS bigint) AS dr FROM (SELECT * FROM orders WHERE o_custkey < 60) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+plain("lag_lead", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS before, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events")
+plain("running_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM events")
+plain("top_k_per_group", "SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) t WHERE rn <= 3")
+plain("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+plain("union_distinct", "SELECT o_custkey AS k FROM orders WHERE o_custkey < 100 UNION SELECT c_custkey FROM customer WHERE c_custkey < 200")
+plain("intersect_all", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48 INTERSECT ALL SELECT l_partkey FROM lineitem WHERE l_discount > 0.08")
+plain("except_all", "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 48 EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_discount > 0.08")
+plain("string_functions", "SELECT c_custkey, upper(c_name) AS up, substring(c_name, 2, 4) AS piece, replace(c_mktsegment, 'A', '_') AS swapped, reverse(c_name) AS back FROM customer")
+plain("case_when_null", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'F'), 'done') AS status FROM orders")
+plain("json_field", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events")
+plain("date_parts", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders")
+plain("text_digest", "SELECT doc_id, sha256(text) AS sha FROM documents", "SELECT doc_id, sha2(text, 256) AS sha FROM documents")
+plain("exact_copies", "SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY sha256(text) HAVING count(*) > 1", "SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY sha2(text, 256) HAVING count(*) > 1")
+plain("conversation_turns", "SELECT conv_id, count(*) AS turns, min(role) AS first_role, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
+
+
+@query("""SELECT e.event_id, e.user_id, e.ts, b.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'click') e
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON e.user_id = b.user_id AND e.ts >= b.ts""")
+def asof_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    return asof_join(clicks, e.where("event_type = 'purchase'"), "user_id", "ts", "event_id", "last_purchase")
+
+
+@query("""SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 25""")
+def range_join_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 25).alias("high"))
+    return range_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), s, "c_acctbal", "low", "high", 25.0).select("c_custkey", "s_suppkey")
+
+
+@query("""SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS total FROM orders""")
+def groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups_frame_sum(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_custkey", 1, 1, "total").select("o_orderkey", "total")
+
+
+@query("""SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS around FROM events
+QUALIFY count(*) OVER (PARTITION BY user_id) > 1""")
+def exclude_current_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(-2, 2)
+    return table(spark, sf_dir, "events").withColumn("_n", F.count("*").over(Window.partitionBy("user_id"))).where("_n > 1").select("event_id", sum_excluding_current("event_id", w).alias("around"))
+
+
+@query("""SELECT user_id, session_no, count(*) AS n FROM (SELECT user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session_no
+FROM (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, session_no""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(table(spark, sf_dir, "events"), "user_id", "ts", "2 HOURS").groupBy("user_id", "session_no").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT vec_id, label, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 4) AS product FROM embeddings""")
+def inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    probe = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 0").first()["embedding"]])
+    return e.select("vec_id", "label", F.round(inner_product(F.col("embedding"), probe), 4).alias("product"))
+
+
+@query("""SELECT doc_id, CAST(greatest(len(w) - 1, 0) AS BIGINT) AS n_bigrams, CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS first_bigram
+FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents)""")
+def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = ngrams(ascii_words(F.col("text")), 2)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(grams).cast("long").alias("n_bigrams"), F.try_element_at(grams, F.lit(1)).alias("first_bigram"))
+
+
+@query("""PIVOT (SELECT o_custkey % 7 AS k, o_orderstatus FROM orders) ON o_orderstatus IN ('F', 'O', 'P') USING count(*) GROUP BY k""")
+def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("k"), "o_orderstatus")
+    return rows.groupBy("k").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)

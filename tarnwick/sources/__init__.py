@@ -1 +1,29 @@
+"""Sources and sinks: fixture tables, and a writer that deals rows by key."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: The fixture tables.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """Temporary views of all fixture tables, for SQL."""
+    for name in TABLES:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
+    """parquet, orc, json, csv, xml or text, with a stated schema where the format has none of its own."""
+    r = spark.read.format(kind).options(**options)
+    return (r.schema(schema) if schema else r).load(path)
+
+
+def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "error", **options: str) -> None:
+    w = df.write.format(kind).mode(mode).options(**options)
+    (w.partitionBy(*partition_by) if partition_by else w).save(path)

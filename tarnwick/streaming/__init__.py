@@ -1 +1,25 @@
+"""Structured Streaming over event tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def events_stream(spark: SparkSession, path_glob: str, schema, watermark: str) -> DataFrame:
+    """A file stream of events with event time as a zoned timestamp (session zone UTC) and a watermark."""
+    return spark.readStream.schema(schema).parquet(path_glob).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
+def windowed(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:
+    """Counts and values by window and type; the same call serves batch and stream."""
+    w = F.window("ts", size, slide) if slide else F.window("ts", size)
+    g = events.groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return g.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
+    """Runs what is there to its end into a memory table of that name."""
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
