@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import additive_ann, lattice_lm, mixing, ngram_join, packing, quality_knn, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import documents
+from .oracles import NGRAM_JOIN, QUALITY_RULES, SOURCE_MIXING
 
 
 def _tokenizer_file(name: str) -> str:
@@ -67,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_array_dedup, op2_additive_neighbours, op3_karmarkar_karp_packing, op4_source_mixing, op5_ngram_jaccard_join, op6_lattice_likelihood, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_source_mixing": SOURCE_MIXING, "op5_ngram_jaccard_join": NGRAM_JOIN, "op10_host_quality_rules": QUALITY_RULES}
