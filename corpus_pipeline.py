@@ -31,9 +31,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings of 200 bytes or more that stand elsewhere too; documents left without a word go."""
-    cut = suffix_dedup.dedup(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("n_removed"), "kept_text")
-    rest = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id"))).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    """Texts without byte strings of 200 bytes or more that stand elsewhere too; documents left without a word go.
+
+    A null doc_id is told by its whole text: equal texts are cut alike. Ids that are not null are unique here.
+    """
+    cut = suffix_dedup.dedup(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("n_removed"), "kept_text", "null_id_sha256")
+    cut = cut.groupBy("cut_id", "null_id_sha256").agg(F.first("n_removed").alias("n_removed"), F.first("kept_text").alias("kept_text"))
+    unnamed = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("binary"), 256))
+    rest = docs.withColumn("unnamed", unnamed).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & F.col("unnamed").eqNullSafe(F.col("null_id_sha256")))
+    rest = rest.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.length("text").cast("long"))
     return rest.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*_columns(docs))

@@ -9,6 +9,7 @@ def test_stages(spark):
     rows = [(i, prose(100 + i, 150), "en", f"s{i % 2}", 0) for i in range(20)]
     rows += [(30, rows[0][1], "en", "s0", 0), (31, rows[1][1] + " more", "en", "s1", 0), (32, "too short", "en", "s0", 0), (33, None, None, None, None)]
     rows += [(40 + i, prose(200 + i, 200) + " " + shared + " " + prose(300 + i, 200), "en", "s0", 0) for i in range(3)]
+    rows += [(None, prose(400 + i, 100), "en", "s0", 0) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     seen = [docs]
     for _, stage in corpus_pipeline.STAGES:
@@ -19,6 +20,7 @@ def test_stages(spark):
     assert ids[3] == ids[2] and not any(shared in r.text for r in seen[3].collect())
     assert ids[4] <= ids[3] and all(d.columns == docs.columns for d in seen[1:5])
     assert ids[5] == ids[4]
+    assert [d.where("doc_id IS NULL").count() for d in seen[2:4]] == [3, 3]
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
