@@ -24,19 +24,21 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that whose doc_id names the component (one row of a repeated id)."""
+    """One document of each group of near copies: that whose doc_id names the component (one row of a repeated id).
+
+    Rows with a null doc_id can name no component: one of each text stays.
+    """
     first = ngram_join.join(docs).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select(*_columns(docs))
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without byte strings of 200 bytes or more that stand elsewhere too; documents left without a word go.
 
-    A null doc_id is told by its whole text: equal texts are cut alike. Ids that are not null are unique here.
+    A null doc_id is told by its whole text; after the stage before, ids and such texts are unique.
     """
     cut = suffix_dedup.dedup(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("n_removed"), "kept_text", "null_id_sha256")
-    cut = cut.groupBy("cut_id", "null_id_sha256").agg(F.first("n_removed").alias("n_removed"), F.first("kept_text").alias("kept_text"))
     unnamed = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("binary"), 256))
     rest = docs.withColumn("unnamed", unnamed).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & F.col("unnamed").eqNullSafe(F.col("null_id_sha256")))
     rest = rest.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
