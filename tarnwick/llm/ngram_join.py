@@ -12,6 +12,7 @@ length and position still allow meet, by equality of (shingle, length). Every pa
 Shingles are 64-bit hashes of the words' hashes; classes are 64-bit hashes of whole sets and their size.
 Defined cases: null, empty or blank text has 0 shingles and is linked with nothing; fewer words than a shingle count as
 one; repeated rows fall in one class; rows with a null doc_id take part, a component's id is its least non-null doc_id.
+A class's text is found by doc_id and a hash of the text, so null or repeated ids never multiply.
 """
 
 from __future__ import annotations
@@ -70,11 +71,11 @@ def _least(percent: int, n):
 
 
 def _first_pass(words: int, bits: int):
-    """Rows (kind 0: doc_id, n, cid) and, at the end, slices of the sketch (kind 1: n = slice, payload)."""
+    """Rows (kind 0: doc_id, n, cid, text_hash) and, at the end, slices of the sketch (kind 1: n = slice, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sketch = Hashes(), np.zeros(1 << bits, np.uint32)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("marks", pa.list_(pa.int64())), ("payload", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("text_hash", pa.int64()), ("marks", pa.list_(pa.int64())), ("payload", pa.binary())])
         for batch in batches:
             n, cid, marks = [], [], []
             for x in batch.column(1):
@@ -84,10 +85,10 @@ def _first_pass(words: int, bits: int):
                 marks.append(bitmap(h))
                 if len(h):
                     np.add.at(sketch, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.ListArray.from_arrays(np.arange(0, 16 * len(n) + 1, 16, dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *marks])), pa.nulls(len(n), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), batch.column(2), pa.ListArray.from_arrays(np.arange(0, 16 * len(n) + 1, 16, dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *marks])), pa.nulls(len(n), pa.binary())], schema=schema)
         if sketch.any():
             parts = [zstandard.compress(s.tobytes(), 1) for s in np.split(sketch, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -228,10 +229,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     pairs = materialize(near.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "ngram-near")
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = materialize(wanted.join(classes, F.col("c") == F.col("cid")).select("c", F.col("rep").alias("wanted_id")), "ngram-wanted")
-    small = wanted.count() <= most_sent
-    held = docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("c", "text")
+    wanted = materialize(wanted.join(classes, F.col("c") == F.col("cid")).select("c", F.col("at.doc_id").alias("wanted_id"), F.col("at.text_hash").alias("wanted_hash")), "ngram-wanted")
+    n_wanted = wanted.count()
+    small = n_wanted <= most_sent
+    held = docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))).select("c", "text")
     held = materialize(held, "ngram-texts")
+    if held.count() > n_wanted:  # whole rows repeat
+        held = materialize(held.dropDuplicates(["c"]), "ngram-texts")
     one = pairs.hint("merge").join(held.select(F.col("c").alias("cb"), F.col("text").alias("text_b")), F.col("b") == F.col("cb")).select("a", "b", "text_b")
     two = one.hint("merge").join(held.select(F.col("c").alias("ca"), F.col("text").alias("text_a")), F.col("a") == F.col("ca"))
 
@@ -246,20 +250,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                 both = len(np.intersect1d(last, other, assume_unique=True))
                 ok.append(100 * both >= percent * (len(last) + len(other) - both) and class_of(last) == at and class_of(other) == b[i].as_py())
                 if class_of(last) != at:
-                    at = None  # a repeated id with another text
+                    at = None  # another text of the same id and hash
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return two.select("a", "b", "text_b", "text_a").mapInArrow(check, "a long, b long")
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, heavy: int = 4096, bits: int = 22) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, heavy: int = 4096, bits: int = 22, with_first: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id (least doc_id reachable by links).
+
+    with_first adds text_hash (xxhash64 of the text) and is_first: the row stands for its component, by least non-null
+    doc_id, then hash; rows without a shingle stand for themselves.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    first = docs.mapInArrow(_first_pass(words, bits), "kind int, doc_id long, n long, cid long, marks array<long>, payload binary")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).withColumn("text_hash", F.xxhash64("text"))
+    first = docs.mapInArrow(_first_pass(words, bits), "kind int, doc_id long, n long, cid long, text_hash long, marks array<long>, payload binary")
     first = materialize(first, "ngram-classes")
-    rows = first.where("kind = 0").select("doc_id", "n", "cid")
-    sets = first.where("kind = 0 AND n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("size"), F.first("marks").alias("marks"))
+    rows = first.where("kind = 0").select("doc_id", "n", "cid", "text_hash")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # non-null ids first
+    sets = first.where("kind = 0 AND n > 0").groupBy("cid").agg(F.min(place).alias("at"), F.max("n").alias("size"), F.first("marks").alias("marks"))
     classes = materialize(sets, "ngram-reps")
 
     sent, p = spark.sparkContext.broadcast(quantised(_sketch(first, bits))), partitions(spark)
@@ -298,8 +307,11 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, hea
         if more.take(1):
             labels = materialize(components(links.unionByName(more)), "ngram-components")
 
-    known = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
-    least = known.groupBy("label").agg(F.min("rep").alias("component_id")).select(F.col("label").alias("l"), "component_id")
-    known = known.join(least, F.col("label") == F.col("l")).select(F.col("cid").alias("c"), "component_id")
+    known = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "at", F.coalesce("label", "cid").alias("label"))
+    least = known.groupBy("label").agg(F.min("at").alias("first")).select(F.col("label").alias("l"), "first")
+    known = known.join(least, F.col("label") == F.col("l")).select(F.col("cid").alias("c"), "first")
     out = rows.join(known, F.col("cid") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id")]
+    if with_first:
+        columns += ["text_hash", F.coalesce(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) | F.col("c").isNull(), F.lit(True)).alias("is_first")]
+    return out.select(*columns)

@@ -175,6 +175,15 @@ def test_op5(spark, odd, none, k, percent):
     assert ngram_join.join(none).count() == 0
 
 
+def test_op5_null_and_repeated_ids(spark):
+    base = [prose(600 + i, 60) for i in range(6)]
+    rows = [(None if i % 2 else 3, t + tail) for i, t in enumerate(base) for tail in ("", " tail", "")] + [(9, "a b"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.join(docs, 3, 90, with_first=True).collect()
+    assert sorted(tuple(-1 if v is None else v for v in x[:3]) for x in got) == components(rows, 3, 90)
+    assert len({x.text_hash for x in got if x.is_first}) == 6 + 2
+
+
 def test_op6(odd, none):
     got = lattice_lm.lattice_scores(odd, PIECES).collect()
     rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), b""]) for r in odd.collect()]
