@@ -74,15 +74,15 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         rows = np.array([measure(x.as_py()) for x in batch.column(2)], np.int64).reshape(-1, len(_COUNTS))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(rows[:, i]) for i in range(len(_COUNTS)))],
-            names=["doc_id", "source", *_COUNTS],
+            [batch.column(0), batch.column(1), batch.column(3), *(pa.array(rows[:, i]) for i in range(len(_COUNTS)))],
+            names=["doc_id", "source", "text_hash", *_COUNTS],
         )
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, source, the counts, base_failed and soft_failed of every document."""
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("binary")).mapInArrow(
-        _measure_batches, "doc_id long, source string, " + ", ".join(f"{c} long" for c in _COUNTS)
+    """doc_id, source, text_hash, the counts, base_failed and soft_failed of every document."""
+    counted = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("binary"), F.xxhash64(F.col("text").cast("binary"))).mapInArrow(
+        _measure_batches, "doc_id long, source string, text_hash long, " + ", ".join(f"{c} long" for c in _COUNTS)
     )
     n = F.col("n_words")
     base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
@@ -104,12 +104,12 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def quality_rules(docs: DataFrame, trust: float = 0.01, bad: float = 0.6) -> DataFrame:
-    """docs(doc_id, source, text) -> doc_id, the counts, base_failed, kept, soft_failed, host_rate."""
+    """docs(doc_id, source, text) -> doc_id, the counts, base_failed, kept, soft_failed, host_rate, source, text_hash."""
     rows = materialize(features(docs), "quality-rules")
     hosts = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed"))
     alpha, beta = beta_prior(hosts)
     verdicts = hosts.select(F.col("source").alias("host"), ((F.col("failed") + alpha) / (F.col("n") + alpha + beta)).alias("host_rate"))
     kept = ~F.col("base_failed") & F.when(F.col("soft_failed"), F.col("host_rate") <= trust).otherwise(F.col("host_rate") < bad)
     return rows.join(verdicts, rows["source"].eqNullSafe(verdicts["host"]), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "soft_failed", "host_rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "soft_failed", "host_rate", "source", "text_hash"
     )
