@@ -9,7 +9,7 @@ The prefix sum never gathers a source in one task: keys fall in ``BINS`` ordered
 aggregation, and only the one bin in which a source's budget ends is sorted row by row.
 
 Defined cases: null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in
-order; repeated rows are separate documents; equal keys are ordered by doc_id and size; u depends on doc_id alone, so reruns agree.
+order; repeated rows are separate documents; equal keys are ordered by doc_id, size and a hash of the text; u depends on doc_id alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -54,11 +54,11 @@ def source_targets(sources: DataFrame, most: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, most: int = 3) -> DataFrame:
-    """docs(doc_id, source, text) -> doc_id, source, size, source_size, target, taken, copies."""
+    """docs(doc_id, source, text) -> doc_id, source, size, source_size, target, taken, copies, text_hash."""
     text, size = F.col("text").cast("string"), F.col("size")
     d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text.alias("text"))
     d = d.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    d = d.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / quality(F.coalesce("text", F.lit("")), size)).alias("key"))
+    d = d.select("doc_id", "source", "size", F.xxhash64(F.col("text").cast("binary")).alias("text_hash"), (-F.log(uniform(F.col("doc_id"))) / quality(F.coalesce("text", F.lit("")), size)).alias("key"))
     d = materialize(d.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int")), "mixing")
 
     bins = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
@@ -73,10 +73,10 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     plan = materialize(plan, "mixing-plan")
 
     rows = d.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    out = lambda df, more: df.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + more).alias("copies"))
+    out = lambda df, more: df.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + more).alias("copies"), "text_hash")
     whole = out(rows.where(F.col("bin") != F.col("end")), (F.col("bin") < F.col("end")).cast("long"))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = rows.where(F.col("bin") == F.col("end")).withColumn("sum", F.col("passed") + F.sum("size").over(order))
     last = out(last, (F.col("sum") - F.col("size") / 2 <= F.col("budget")).cast("long"))
     mixed = whole.unionByName(last).withColumn("copies", F.least(F.col("copies"), F.lit(most)))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "text_hash")
