@@ -6,7 +6,7 @@ Parquet in the shared folder and reads them again. All stages but the last retur
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
@@ -17,19 +17,26 @@ def _columns(docs: DataFrame) -> list[str]:
     return [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
 
 
+def _hash() -> Column:
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = quality_rules.quality_rules(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*_columns(docs))
+    """Documents that the quality rules keep; a row is told by doc_id, source and text, so null and repeated ids are judged apart."""
+    kept = quality_rules.quality_rules(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("source").alias("kept_source"), F.col("text_hash").alias("kept_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("source").eqNullSafe(F.col("kept_source")) & (F.col("hash") == F.col("kept_hash"))
+    return docs.select(*_columns(docs)).withColumn("hash", _hash()).join(kept, same, "left_semi").select(*_columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that whose doc_id names the component (one row of a repeated id).
 
-    Rows with a null doc_id can name no component: one of each text stays.
+    A group of null ids alone keeps one text; rows without a word are groups of their own, by id or, unnamed, together.
     """
-    first = ngram_join.join(docs).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select(*_columns(docs))
+    stays = F.when(F.col("doc_id").isNull(), F.col("is_first")).otherwise(F.col("doc_id") == F.col("component_id"))
+    unnamed = lambda h: F.when(F.col("doc_id").isNull(), h)
+    first = ngram_join.join(docs, with_first=True).where(stays).select(F.col("doc_id").alias("first_id"), unnamed(F.col("text_hash")).alias("first_hash"))
+    kept = docs.select(*_columns(docs)).join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & unnamed(_hash()).eqNullSafe(F.col("first_hash")), "left_semi").select(*_columns(docs))
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 
@@ -49,8 +56,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), "text_hash").agg(F.max("copies").alias("copies"))
+    rows = docs.select(*_columns(docs)).withColumn("hash", _hash()).join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & F.col("source").eqNullSafe(F.col("mixed_source")) & (F.col("hash") == F.col("text_hash")))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*_columns(docs))
 
 

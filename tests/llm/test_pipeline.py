@@ -25,3 +25,15 @@ def test_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
     assert empty.count() == 0
+
+
+def test_null_and_repeated_ids_are_told_apart(spark):
+    """Rejected, copied and kept rows that share a null id, and two texts of one id."""
+    rows = [(None, prose(500, 120), "en", "s0", 0), (None, prose(500, 120) + " more", "en", "s0", 0), (None, "too short", "en", "s0", 0), (7, prose(501, 120), "en", "s0", 0), (7, "short too", "en", "s0", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.rules(spark, docs, "")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect()) == sorted([(-1, rows[0][1]), (-1, rows[1][1]), (7, rows[3][1])] * 2)
+    near = corpus_pipeline.near_copies(spark, kept, "").collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in near) == [-1, 7]
+    mixed = corpus_pipeline.source_mix(spark, kept, "").collect()
+    assert 0 < len(mixed) <= 3 * kept.count()
