@@ -13,8 +13,9 @@ def groups_frame_sum(df: DataFrame, by: str, order: str, value: str, before: int
 
 
 def sum_excluding_current(value: str, window: Window) -> Column:
-    """sum(value) OVER (window EXCLUDE CURRENT ROW)."""
-    return F.sum(value).over(window) - F.col(value)
+    """sum(value) OVER (window EXCLUDE CURRENT ROW); null where no other row of the frame has a value."""
+    others = F.count(value).over(window) - F.col(value).isNotNull().cast("int")
+    return F.when(others > 0, F.sum(value).over(window) - F.coalesce(F.col(value), F.lit(0)))
 
 
 def sessions(df: DataFrame, by: str, at: str, gap: str, alias: str = "session_no") -> DataFrame:

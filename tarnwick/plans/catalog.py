@@ -95,6 +95,13 @@ def asof_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(clicks, e.where("event_type = 'purchase'"), "user_id", "ts", "event_id", "last_purchase")
 
 
+@query("""SELECT event_id, event_id % 2 AS half, ts, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY event_id % 2 ORDER BY ts) AS last_error FROM events""")
+def asof_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("half", F.col("event_id") % 2)
+    day = lambda at: F.date_trunc("day", at)
+    return asof_join(e.select("event_id", "half", "ts"), e.where("event_type = 'error'"), "half", "ts", "event_id", "last_error", day)
+
+
 @query("""SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 25""")
 def range_join_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 25).alias("high"))
@@ -106,11 +113,10 @@ def groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_frame_sum(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_custkey", 1, 1, "total").select("o_orderkey", "total")
 
 
-@query("""SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS around FROM events
-QUALIFY count(*) OVER (PARTITION BY user_id) > 1""")
+@query("""SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS around FROM events""")
 def exclude_current_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(-2, 2)
-    return table(spark, sf_dir, "events").withColumn("_n", F.count("*").over(Window.partitionBy("user_id"))).where("_n > 1").select("event_id", sum_excluding_current("event_id", w).alias("around"))
+    return table(spark, sf_dir, "events").select("event_id", sum_excluding_current("event_id", w).alias("around"))
 
 
 @query("""SELECT user_id, session_no, count(*) AS n FROM (SELECT user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session_no
@@ -137,3 +143,52 @@ def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("k"), "o_orderstatus")
     return rows.groupBy("k").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
+
+
+plain("right_join_counts", "SELECT n_nationkey, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+plain("theta_join", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_nationkey < r_regionkey * 3")
+plain("using_join", "SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
+plain("in_subquery", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+plain("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+plain("lateral_top", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_custkey < 200) c, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+plain("recursive_walk", "WITH RECURSIVE walk(k, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, depth + 1 FROM walk JOIN nation ON n_nationkey = k * 2 + 1) SELECT k, depth FROM walk")
+plain("statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(median(l_quantity), 4) AS med FROM lineitem GROUP BY l_returnflag")
+plain("quantiles", "SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90, round(quantile_cont(l_extendedprice, 0.25), 2) AS p25 FROM lineitem GROUP BY l_linestatus",
+"SELECT l_linestatus, round(percentile(l_extendedprice, 0.9), 2) AS p90, round(percentile(l_extendedprice, 0.25), 2) AS p25 FROM lineitem GROUP BY l_linestatus")
+plain("arg_extremes", "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_custkey")
+plain("logic_aggregates", "SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS every_large, bool_or(o_totalprice > 400000) AS any_large, bit_xor(o_orderkey) AS x FROM orders GROUP BY o_orderstatus")
+plain("string_aggregate", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+plain("several_distincts", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, sum(DISTINCT l_quantity) AS quantities FROM lineitem GROUP BY l_returnflag")
+plain("window_distribution", "SELECT o_orderkey, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, CAST(ntile(4) OVER w AS BIGINT) AS quarter FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)")
+plain("window_values", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+plain("range_interval_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS n FROM events")
+plain("latest_order", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+"SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) t WHERE rn = 1")
+plain("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+plain("intersect_distinct", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+plain("except_distinct", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+plain("regex_functions", "SELECT p_partkey, regexp_replace(p_type, '[AEIOU]', '*', 'g') AS masked, regexp_matches(p_name, '[0-9]$') AS ends_in_digit, regexp_extract(p_brand, '([0-9]+)', 1) AS digits FROM part",
+"SELECT p_partkey, regexp_replace(p_type, '[AEIOU]', '*') AS masked, p_name RLIKE '[0-9]$' AS ends_in_digit, regexp_extract(p_brand, '([0-9]+)', 1) AS digits FROM part")
+plain("pad_and_split", "SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS padded, split_part(c_name, '_', 2) AS tail, concat_ws('-', c_mktsegment, c_name) AS both_names, CAST(levenshtein(c_name, c_mktsegment) AS BIGINT) AS edits FROM customer",
+"SELECT c_custkey, lpad(CAST(c_custkey AS STRING), 8, '0') AS padded, split_part(c_name, '_', 2) AS tail, concat_ws('-', c_mktsegment, c_name) AS both_names, CAST(levenshtein(c_name, c_mktsegment) AS BIGINT) AS edits FROM customer")
+plain("math_functions", "SELECT o_orderkey, round(ln(o_totalprice), 6) AS ln_price, round(sqrt(o_totalprice), 6) AS root, CAST(floor(o_totalprice / 1000) AS BIGINT) AS thousands, o_orderkey % 7 AS rest, greatest(o_custkey, o_orderkey) AS larger FROM orders")
+plain("date_arithmetic", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month_start, CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(datediff('day', TIMESTAMP '1995-01-01', o_orderdate) AS BIGINT) AS days FROM orders",
+"SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS month_start, quarter(o_orderdate) AS q, CAST(datediff(o_orderdate, TIMESTAMP_NTZ '1995-01-01') AS BIGINT) AS days FROM orders")
+plain("array_functions", "SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, list_contains(w, 'the') AS has_the FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)",
+"SELECT doc_id, CAST(size(w) AS BIGINT) AS n, CAST(size(array_distinct(w)) AS BIGINT) AS n_distinct, array_contains(w, 'the') AS has_the FROM (SELECT doc_id, split(text, ' ', -1) AS w FROM documents)")
+plain("higher_order", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS n_positive FROM embeddings", "SELECT vec_id, CAST(size(filter(embedding, x -> x > 0)) AS BIGINT) AS n_positive FROM embeddings")
+plain("word_counts", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word", "SELECT word, count(*) AS n FROM (SELECT explode(split(text, ' ', -1)) AS word FROM documents) GROUP BY word")
+plain("daily_events", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('day', ts), event_type",
+"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('day', ts), event_type")
+
+
+@query("""SELECT time_bucket(INTERVAL '6 hours', ts) - to_hours(6 * k) AS start, count(*) AS n FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY 1""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.window("ts", "1 day", "6 hours").alias("w"))
+    return rows.groupBy(F.col("w.start").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, name, value FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) UNPIVOT (value FOR name IN (p_size, p_retailprice))""")
+def unpivot_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return rows.unpivot("p_partkey", ["p_size", "p_retailprice"], "name", "value")

@@ -1,9 +1,11 @@
 """Streaming against batch, sources' round trips, joins' edge cases."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwick import sources, streaming
-from tarnwick.operators.joins import range_join
+from tarnwick.operators.frames import sum_excluding_current
+from tarnwick.operators.joins import asof_join, range_join
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
@@ -27,3 +29,18 @@ def test_range_join_has_no_nested_loop(spark):
     got = range_join(p, r, "x", "low", "high", 10.0)
     assert sorted((g.k, g.x) for g in got.collect()) == [(1, float(x)) for x in range(2, 6)] + [(3, float(x)) for x in range(90, 100)]
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_asof_nulls_and_cells(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (1, 25, "b"), (None, 5, "c"), (1, None, "d"), (2, 5, "e"), (1, 95, "f")], "k int, t int, x string")
+    right = spark.createDataFrame([(1, 1, 10), (1, 20, None), (None, 1, 30), (1, None, 40), (2, 6, 50)], "k int, t int, v int")
+    for cell in (None, lambda t: F.floor(t / 10)):
+        got = asof_join(left, right, "k", "t", "v", "last", cell)
+        assert sorted((r.x, r.last) for r in got.collect()) == [("a", 10), ("b", None), ("c", None), ("d", None), ("e", None), ("f", None)]
+
+
+def test_sum_excluding_current_with_nulls(spark):
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, 5), (1, 3, 7), (2, 1, 4), (3, 1, None), (3, 2, None)], "k int, t int, v int")
+    w = Window.partitionBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    got = rows.select("k", "t", sum_excluding_current("v", w).alias("s")).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == [(1, 1, 12), (1, 2, 7), (1, 3, 5), (2, 1, None), (3, 1, None), (3, 2, None)]
