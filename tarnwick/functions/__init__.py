@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row; inside a lambda a plain expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words of an array, joined by a blank."""
-    at = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
-    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - F.lit(n))
+        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.concat_ws(" ", *[w[i + k] for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, runs)
 
 
 def ascii_words(text: Column) -> Column:

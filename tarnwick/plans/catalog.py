@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import ascii_words, ngrams
 from tarnwick.operators.frames import groups_frame_sum, sessions, sum_excluding_current
 from tarnwick.operators.joins import asof_join, inner_product, range_join
-from tarnwick.sources import TABLES, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def plain(name: str, sql: str, spark_sql: str | None = None) -> None:
-    """A query stated in SQL for both engines (spark_sql where the dialects differ)."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
-        return spark.sql(re.sub(r"\b(" + "|".join(tables) + r")\b(?=[\s,)]|$)", r"{\1}", spark_sql or sql), **tables)
-
-    run.__name__ = name
-    QUERIES[name] = run
-    SQL[name] = sql
-
+from tarnwick.plans.registry import QUERIES, SQL, plain, query  # noqa: F401
+from tarnwick.sources import table
 
 @query("""
 SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
@@ -192,3 +164,6 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpivot_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     return rows.unpivot("p_partkey", ["p_size", "p_retailprice"], "name", "value")
+
+
+from tarnwick.plans import scalars, streams, surfaces  # noqa: E402, F401  (they register their queries)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The fixture tables.
@@ -27,3 +30,12 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | No
 def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "error", **options: str) -> None:
     w = df.write.format(kind).mode(mode).options(**options)
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwick.sources import scratch
+
 
 def events_stream(spark: SparkSession, path_glob: str, schema, watermark: str) -> DataFrame:
     """A file stream of events with event time as a zoned timestamp (session zone UTC) and a watermark."""
@@ -23,3 +28,27 @@ def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_table(df: DataFrame, tag: str) -> DataFrame:
+    """Runs what is there to its end in append mode into Parquet in the shared folder, so no result meets on the driver."""
+    path = scratch(df.sparkSession, tag)
+    df.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_totals(events: DataFrame, by: str, value: str) -> DataFrame:
+    """After each batch a row (by, n, total) of every key in it, by state that Spark keeps per key.
+
+    A value of null counts as a row and adds nothing; total rises with the batches only where values are not negative.
+    """
+
+    def add(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for f in frames:
+            n, total = n + len(f), total + float(f[value].sum())
+        state.update((n, total))
+        yield pd.DataFrame({by: [key[0]], "n": [n], "total": [total]})
+
+    kind = events.schema[by].dataType.simpleString()
+    return events.select(by, value).groupBy(by).applyInPandasWithState(add, f"{by} {kind}, n long, total double", "n long, total double", "append", "NoTimeout")

@@ -1,9 +1,12 @@
 """Streaming against batch, sources' round trips, joins' edge cases."""
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwick import sources, streaming
+from tarnwick.functions import ascii_words, ngrams
 from tarnwick.operators.frames import sum_excluding_current
 from tarnwick.operators.joins import asof_join, range_join
 
@@ -44,3 +47,43 @@ def test_sum_excluding_current_with_nulls(spark):
     w = Window.partitionBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     got = rows.select("k", "t", sum_excluding_current("v", w).alias("s")).collect()
     assert sorted(map(tuple, got), key=lambda r: r[:2]) == [(1, 1, 12), (1, 2, 7), (1, 3, 5), (2, 1, None), (3, 1, None), (3, 2, None)]
+
+
+def test_late_rows_are_dropped_and_counted(spark, sf, tmp_path):
+    """Two batches: the second brings rows of the first day, long behind the watermark, and one new day."""
+    e = sources.table(spark, sf, "events").limit(0).schema
+    row = lambda i, day: (i, day, 1, "click", 1.0, "{}")
+    day = lambda d, h=1: datetime.datetime(2024, 1, d, h)
+    for k, rows in enumerate(([row(1, day(1)), row(2, day(1, 2)), row(3, day(9))], [row(4, day(1, 3)), row(5, day(9, 2)), row(6, day(20))])):
+        spark.createDataFrame(rows, e).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streaming.windowed(streaming.events_stream(spark, f"{tmp_path}/in", e, "1 hour"), "1 day")
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+        dropped = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+        assert dropped == k  # the late row, one group of it
+    out = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+    assert sorted((r.start.day, r.n) for r in out.collect()) == [(1, 2), (9, 2)]
+
+
+def test_running_totals_over_batches(spark, sf, tmp_path):
+    e = sources.table(spark, sf, "events")
+    for k in range(2):
+        e.where(f"event_id % 2 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streaming.events_stream(spark, f"{tmp_path}/in", e.schema, "1 hour")
+    out = streaming.run_to_table(streaming.running_totals(stream, "user_id", "value"), "totals")
+    want = {r.user_id: r["count"] for r in e.groupBy("user_id").count().collect()}
+    assert {r.user_id: r.n for r in out.groupBy("user_id").agg(F.max("n").alias("n")).collect()} == want
+
+
+def test_ngrams(spark):
+    rows = spark.createDataFrame([("a b  c\td",), ("a",), ("",), (None,)], "t string")
+    got = [r.g for r in rows.select(ngrams(ascii_words(F.col("t")), 3).alias("g")).collect()]
+    assert got == [["a b c", "b c d"], [], [], []]
+
+
+def test_asof_hot_key_has_no_join_of_rows_by_key_alone(spark, sf):
+    """With cells, rows are windowed by (key, cell); what is carried over is one row a cell."""
+    e = sources.table(spark, sf, "events").withColumn("half", F.col("event_id") % 2)
+    got = asof_join(e.select("event_id", "half", "ts"), e.where("event_type = 'error'"), "half", "ts", "event_id", "last", lambda at: F.date_trunc("day", at))
+    plain = asof_join(e.select("event_id", "half", "ts"), e.where("event_type = 'error'"), "half", "ts", "event_id", "last")
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
