@@ -2,12 +2,15 @@
 
 The pieces of an existing subword vocabulary weight every segmentation of a word; a log-space forward recursion over
 byte positions sums them. The vocabulary's own scores (ranks) start the piece weights and ``rounds`` of expectation
-maximisation over the word types of all training documents fit them. A seen word also has an edge of its own:
+maximisation over the stems of all training documents fit them. A word is a stem and a tail, its closing run of ASCII
+punctuation (a word of nothing else is a stem). Seen words and seen stems have edges of their own:
 
-    P(w) = max(c(w) - discount, 0) / N + discount * V / N * P_lattice(w)
+    P(w)    = max(c(w) - discount, 0) / N + discount * V / N * P(stem) * P(tail)
+    P(stem) = mean of k in (tokens, word types) of max(k(stem) - discount, 0) / sum k + discount * S / sum k * P_lattice(stem)
 
-with c, N, V counted over all training documents, so P sums to one over all words. Within a document a used word has
-one more edge, a copy of its earlier uses, discounted alike: with h earlier uses among i tokens of t types,
+with c, N, V and the S stems counted over all training documents and P(tail) a byte bigram chain over word types, so P
+sums to one over all words at most. Within a document a used word has one more edge, a copy of its earlier uses,
+discounted alike: with h earlier uses among i tokens of t types,
 
     P(w | history) = (max(h - copy_discount, 0) + (prior + copy_discount * t) * P(w)) / (i + prior)
 
@@ -15,8 +18,8 @@ A document's score is the sum of log10 of that over its words and the end token:
 score is add-0.5 smoothing over the same counts.
 
 Layout: a task turns its documents into blocks; each block deals its distinct words (with their counts and the
-documents that hold them) over buckets by hash, so a frequent word is one entry a block and no bucket is hot. Buckets
-count words exactly, are written to the shared folder and are scored there; partial sums go back by block.
+documents that hold them) over buckets by a hash of the stem, so a frequent word is one entry a block, no bucket is hot
+and a stem's words meet. Buckets count words exactly, are written to the shared folder and are scored there; partial sums go back by block.
 
 Defined cases: null or empty text is the end token alone; a null doc_id is training; repeated rows count each; words
 longer than any piece go through single bytes; an empty table gives an empty result.
@@ -24,6 +27,8 @@ longer than any piece go through single bytes; an empty table gives an empty res
 
 from __future__ import annotations
 
+import string
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +42,9 @@ from .common import even_keys, fold, materialize, partitions
 
 LONGEST = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
+_MARKS = string.punctuation.encode()
+_STATE = {c: i + 1 for i, c in enumerate(_MARKS)}
+STATES = len(_MARKS) + 1
 
 
 class _Ids(dict):
@@ -54,6 +62,43 @@ def _open(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def stem_of(word: bytes) -> bytes:
+    return word.rstrip(_MARKS) or word
+
+
+def tail_steps(tail: bytes) -> list[int]:
+    """Cells of the tail chain's matrix (row: state before, column: state after; 0 is start and end)."""
+    states = [0, *map(_STATE.__getitem__, tail), 0]
+    return [a * STATES + b for a, b in zip(states, states[1:], strict=False)]
+
+
+class Stems:
+    """The stems of a bucket's words: their list, each word's stem, and counts of tokens, types and tail steps in training."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        index = _Ids()
+        own = [stem_of(w) for w in words]
+        self.of = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
+        self.stems = list(index)
+        self.tails = [w[len(x) :] for w, x in zip(words, own, strict=True)]
+        self.tokens = np.bincount(self.of, counts, minlength=len(index))
+        self.types = np.bincount(self.of, counts > 0, minlength=len(index))
+        self.trained = counts > 0
+
+    def steps(self) -> np.ndarray:
+        total = np.zeros(STATES * STATES, np.int64)
+        for tail, n in Counter(t for t, k in zip(self.tails, self.trained, strict=True) if k).items():
+            for at in tail_steps(tail):
+                total[at] += n
+        return total
+
+    def tail_logs(self, chain: np.ndarray) -> np.ndarray:
+        known: dict[bytes, float] = {}
+        for t in set(self.tails):
+            known[t] = float(sum(chain[at] for at in tail_steps(t)))
+        return np.array([known[t] for t in self.tails])
+
+
 class Lattice:
     """Pieces and their log weights; words start with a space byte, which stands for the vocabulary's word mark."""
 
@@ -210,7 +255,7 @@ def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float)
             uses.clear()
             trained = np.bincount(which, times * ~held[doc], minlength=len(index)).astype(np.int64)
             words = list(index)
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(stem_of(w)) % n_buckets for w in words), np.int64, len(words))
             by = np.argsort(bucket, kind="stable")
             place = np.empty(len(by), np.int64)
             ends = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
@@ -256,10 +301,11 @@ def _count(table: pa.Table) -> pa.Table:
     for ids, n in counts:
         c[ids] += n
     words = zstandard.compress(b"\n".join(index), 1)
+    stems = Stems(list(index), c)
     return pa.table(
-        [pa.array([words], pa.binary()), pa.array(_press(c), pa.binary()), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())])]
+        [pa.array([words], pa.binary()), pa.array(_press(c), pa.binary()), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())]), pa.array([int((stems.types > 0).sum())]), pa.array([stems.steps().tolist()], pa.list_(pa.int64()))]
         + [pa.array([out["blocks"]], pa.list_(pa.int64())), pa.array([out["kinds"]], pa.list_(pa.int32())), *(pa.array([out[k]], pa.list_(pa.binary())) for k in "abcde")],
-        names=["words", "counts", "n", "v", "blocks", "kinds", *"abcde"],
+        names=["words", "counts", "n", "v", "s", "steps", "blocks", "kinds", *"abcde"],
     )
 
 
@@ -268,15 +314,19 @@ def _words(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
     return (zstandard.decompress(words).split(b"\n") if len(c) else []), c
 
 
-def lattice_scores(docs: DataFrame, path: str, rounds: int = 2, discount: float = 0.7, copy_discount: float = 0.9, prior: float = 20.0) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, discount: float = 0.7, copy_discount: float = 0.9, prior: float = 20.0) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     n_buckets = partitions(spark)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), F.col("text").cast("binary"))
     dealt = d.mapInArrow(_blocks(n_buckets, even_keys(n_buckets, n_buckets), copy_discount, prior), "bucket long, block long, kind int, words binary, " + ", ".join(f"{c} binary" for c in "abcde"))
-    counted = dealt.groupBy("bucket").applyInArrow(_count, "words binary, counts binary, n long, v long, blocks array<long>, kinds array<int>, " + ", ".join(f"{c} array<binary>" for c in "abcde"))
+    counted = dealt.groupBy("bucket").applyInArrow(_count, "words binary, counts binary, n long, v long, s long, steps array<long>, blocks array<long>, kinds array<int>, " + ", ".join(f"{c} array<binary>" for c in "abcde"))
     counted = materialize(counted, "lattice-counts")
-    total, types = (int(x or 0) for x in counted.agg(F.sum("n"), F.sum("v")).first())
+    total, types, n_stems = (int(x or 0) for x in counted.agg(F.sum("n"), F.sum("v"), F.sum("s")).first())
+    steps = np.zeros((STATES, STATES))
+    for at, n in counted.select(F.posexplode("steps")).groupBy("pos").agg(F.sum("col")).collect():
+        steps[at // STATES, at % STATES] = n
+    chain = np.log((steps + 0.1) / (steps + 0.1).sum(1, keepdims=True)).reshape(-1)
 
     pieces, logp = vocabulary(path)
     for _ in range(rounds if types else 0):
@@ -288,7 +338,8 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = 2, discount: float
             for batch in batches:
                 for w, n in zip(batch.column(0), batch.column(1), strict=True):
                     words, c = _words(w.as_py(), n.as_py())
-                    sums += lattice.expected([x for x, k in zip(words, c, strict=True) if k and x])
+                    found = Stems(words, c)
+                    sums += lattice.expected([x for x, k in zip(found.stems, found.types, strict=True) if k and x])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["piece", "uses"])
 
         uses = np.zeros(len(pieces))
@@ -296,14 +347,18 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = 2, discount: float
             uses[r[0]] = r[1]
         logp = np.log((uses + 1e-3) / (uses + 1e-3).sum())
     sent = spark.sparkContext.broadcast((pieces, logp))
+    sums_of = (max(1, total), max(1, types))
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
         for batch in batches:
             for row in batch.to_pylist():
                 words, c = _words(row["words"], row["counts"])
-                unseen = lattice.forward(words)
+                found = Stems(words, c)
+                known_stems = sum(np.maximum(k - discount, 0) / n / 2 for k, n in zip((found.tokens, found.types), sums_of, strict=True))
                 with np.errstate(divide="ignore"):
+                    left = np.log(sum(discount * max(1, n_stems) / n / 2 for n in sums_of))
+                    unseen = np.logaddexp(np.log(known_stems), left + lattice.forward(found.stems))[found.of] + found.tail_logs(chain)
                     seen = np.log(np.maximum(c - discount, 0) / max(1, total))
                 lp = np.logaddexp(seen, np.log(discount * max(1, types) / max(1, total)) + unseen) / np.log(10)
                 base, known, p = np.log10(c + 0.5), (c > 0).astype(float), 10.0**lp

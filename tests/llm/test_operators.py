@@ -212,6 +212,41 @@ def test_op6_lattice_sums_all_segmentations():
     assert sum(u * len(p) for u, p in zip(uses, pieces, strict=True)) == pytest.approx(7)
 
 
+def test_op6_score_is_the_stated_formula(spark):
+    """Every document's score by the docstring's formula, word by word, with the vocabulary's own weights."""
+    texts = {i: t for i, t in enumerate(["nation and, and! nation", "And nation, ... land's", "", "sea, land sea!!! nation, nation", "unseen, unseen. and... sea?"] * 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in lattice_lm.lattice_scores(docs, PIECES, rounds=0).collect()}
+    lattice = lattice_lm.Lattice(*lattice_lm.vocabulary(PIECES))
+    words = {i: [*t.encode().lower().split(), b""] for i, t in texts.items()}
+    c = collections.Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    n, v = sum(c.values()), len(c)
+    stem = lambda w: w.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w
+    tokens, kinds, steps = collections.Counter(), collections.Counter(), collections.Counter()
+    for w, k in c.items():
+        tokens[stem(w)] += k
+        kinds[stem(w)] += 1
+        tail = [0, *w[len(stem(w)) :], 0]
+        steps.update(zip(tail, tail[1:]))
+    rows = collections.Counter()
+    for (x, _), k in steps.items():
+        rows[x] += k
+
+    def p_of(w):
+        tail = [0, *w[len(stem(w)) :], 0]
+        p_tail = math.prod((steps[x, y] + 0.1) / (rows[x] + 3.3) for x, y in zip(tail, tail[1:]))
+        spelled = math.exp(lattice.forward([stem(w)])[0])
+        p_stem = sum(max(k[stem(w)] - 0.7, 0) / m + 0.7 * len(kinds) / m * spelled for k, m in ((tokens, n), (kinds, v))) / 2
+        return max(c[w] - 0.7, 0) / n + 0.7 * v / n * p_stem * p_tail
+
+    for i, ws in words.items():
+        want, seen = 0.0, collections.Counter()
+        for at, w in enumerate(ws):
+            want += math.log10((max(seen[w] - 0.9, 0) + (20 + 0.9 * len(seen)) * p_of(w)) / (at + 20))
+            seen[w] += 1
+        assert got[i] == pytest.approx(want, abs=1e-6), i
+
+
 def test_op7(spark, sf, odd, none):
     docs, labels = spark.read.parquet(f"{sf.replace('0.01', '0.1')}/documents.parquet"), spark.read.parquet(f"{sf.replace('0.01', '0.1')}/labels.parquet")
     out = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out")
