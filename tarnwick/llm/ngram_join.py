@@ -5,7 +5,7 @@ sketch of fixed size. With similarity p %, a class of n shingles has a prefix of
 partners share at least the smaller l of them. Each class lengthens its prefix (l up to 4) by estimated candidate cost.
 
 Posting lists of up to ``short`` classes give their pairs with a count of shared prefix shingles; pairs below the
-smaller l go unless both classes also stand in long lists. Long lists never give all pairs: first each class meets the
+smaller l go unless both classes' whole prefixes stand in enough long lists to make it up. Long lists never give all pairs: first each class meets the
 list's pivot (the member with fewest rarer shingles); then, components known, only pairs of different components that
 length and position still allow meet, by equality of (shingle, length). Every pair is verified on whole sets.
 
@@ -185,7 +185,7 @@ _FOUND = "kind int, token long, a long, b long, n int, pos int, ell int"
 
 
 def _lists(percent: int, bits: int, sent, heavy: int, short: int):
-    """A bucket's posting lists: pairs of the short ones (kind 0), members of the long ones (kind 1)."""
+    """A bucket's posting lists: pairs of the short ones (kind 0), members of the long ones (kind 1; kind 2 beyond the prefix of l = 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(zstandard.decompress(x), t) for x in table[c].to_pylist()])
@@ -210,8 +210,8 @@ def _lists(percent: int, bits: int, sent, heavy: int, short: int):
             ok = (100 * low >= percent * high) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) + least - 1 >= need)
             i, j, least = i[ok], j[ok], least[ok]
             out.append((np.zeros(len(i), np.int32), tok[i].view(np.int64), np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]), np.zeros(len(i), np.int32), np.zeros(len(i), np.int32), least))
-        at = np.flatnonzero(long & (n - pos >= _least(percent, n)))
-        out.append((np.ones(len(at), np.int32), tok[at].view(np.int64), cid[at], cid[at], n[at].astype(np.int32), pos[at].astype(np.int32), ell[at]))
+        at = np.flatnonzero(long)
+        out.append((np.where(n - pos >= _least(percent, n), 1, 2)[at].astype(np.int32), tok[at].view(np.int64), cid[at], cid[at], n[at].astype(np.int32), pos[at].astype(np.int32), ell[at]))
         return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["kind", "token", "a", "b", "n", "pos", "ell"])
 
     return run
@@ -276,9 +276,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, hea
     found = materialize(dealt.groupBy("bucket").applyInArrow(_lists(percent, bits, sent, heavy, short), _FOUND), "ngram-lists")
 
     long = found.where("kind = 1").select("token", F.col("a").alias("cid"), F.col("n").cast("long"), F.col("pos").cast("long"))
-    in_long = long.select(F.col("cid").alias("h")).distinct()
+    in_long = found.where("kind > 0").groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n_long"))
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell"))
-    few = counted.where("shared < ell").join(in_long, F.col("a") == F.col("h"), "left_semi").join(in_long, F.col("b") == F.col("h"), "left_semi")
+    enough = lambda x: (F.col(x) == F.col("h")) & (F.col("shared") + F.col("n_long") >= F.col("ell"))
+    few = counted.where("shared < ell").join(in_long, enough("a"), "left_semi").join(in_long, enough("b"), "left_semi")
     reach = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")  # the largest partner still allowed
     long = long.withColumn("reach", reach.cast("long"))
     pivots = long.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("pos", "cid", "n", "reach")).alias("pivot"))

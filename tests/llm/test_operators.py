@@ -175,6 +175,19 @@ def test_op5(spark, odd, none, k, percent):
     assert ngram_join.join(none).count() == 0
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_op5_long_lists_beyond_the_first_prefix(spark, k, percent):
+    """A's only partner is B0: they share one rare shingle, and then shingles of long lists that stand late in A's prefix."""
+    body = " ".join(f"t{i}" for i in range(percent + k - 2))
+    added = " ".join(f"p{i}" for i in range(100 - percent))
+    rows = [(1000, f"{body} end0 {added}")] + [(10 + i, f"{body} end{i}") for i in range(12)]
+    rows += [(500 + i, f"{' '.join(f'o{i}x{j}' for j in range(100))} {added}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = components(rows, k, percent)
+    assert (1000, 100, 10) in want
+    assert sorted(tuple(x) for x in ngram_join.join(docs, k, percent).collect()) == want
+
+
 def test_op5_null_and_repeated_ids(spark):
     base = [prose(600 + i, 60) for i in range(6)]
     rows = [(None if i % 2 else 3, t + tail) for i, t in enumerate(base) for tail in ("", " tail", "")] + [(9, "a b"), (None, "")]
