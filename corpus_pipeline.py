@@ -29,25 +29,23 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that whose doc_id names the component (one row of a repeated id).
+    """One document of each group of near copies: the text of least doc_id, then text hash; rows are told by doc_id and text.
 
-    A group of null ids alone keeps one text; rows without a word are groups of their own, by id or, unnamed, together.
+    A group of null ids alone keeps one text; of rows without a word each doc_id, null included, keeps each text once.
     """
-    stays = F.when(F.col("doc_id").isNull(), F.col("is_first")).otherwise(F.col("doc_id") == F.col("component_id"))
-    unnamed = lambda h: F.when(F.col("doc_id").isNull(), h)
-    first = ngram_join.join(docs, with_first=True).where(stays).select(F.col("doc_id").alias("first_id"), unnamed(F.col("text_hash")).alias("first_hash"))
-    kept = docs.select(*_columns(docs)).join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & unnamed(_hash()).eqNullSafe(F.col("first_hash")), "left_semi").select(*_columns(docs))
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
+    first = ngram_join.join(docs, with_first=True).where("is_first").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
+    kept = docs.select(*_columns(docs)).join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (_hash() == F.col("first_hash")), "left_semi").select(*_columns(docs))
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without byte strings of 200 bytes or more that stand elsewhere too; documents left without a word go.
 
-    A null doc_id is told by its whole text; after the stage before, ids and such texts are unique.
+    A row is told by its doc_id and whole text; after the stage before, these pairs are unique.
     """
-    cut = suffix_dedup.dedup(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("n_removed"), "kept_text", "null_id_sha256")
-    unnamed = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("binary"), 256))
-    rest = docs.withColumn("unnamed", unnamed).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & F.col("unnamed").eqNullSafe(F.col("null_id_sha256")))
+    cut = suffix_dedup.dedup(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("n_removed"), "kept_text", "text_sha256")
+    whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    rest = docs.withColumn("whole", whole).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("whole") == F.col("text_sha256")))
     rest = rest.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.length("text").cast("long"))

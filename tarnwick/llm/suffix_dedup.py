@@ -410,10 +410,10 @@ def _apply(width: int, with_text: bool):
             kept = blob[begin:end] if not removed else np.frombuffer(blob, np.uint8, end - begin, begin)[~mask].tobytes()
             spans = len(_runs(mask)[0]) if removed else 0
             row = (None if is_null else doc, end - begin, removed, spans, hashlib.sha256(kept).hexdigest())
-            rows.append((*row, kept.decode("utf-8", "ignore"), hashlib.sha256(blob[begin:end]).hexdigest() if is_null else None) if with_text else row)
+            rows.append((*row, kept.decode("utf-8", "ignore"), hashlib.sha256(blob[begin:end]).hexdigest()) if with_text else row)
             begin = end
         kinds = [*[pa.int64()] * 4, *[pa.string()] * (1 + 2 * with_text)]
-        names = [v.split()[0] for v in _OUT.split(", ")] + ["kept_text", "null_id_sha256"] * with_text
+        names = [v.split()[0] for v in _OUT.split(", ")] + ["kept_text", "text_sha256"] * with_text
         return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
@@ -445,7 +445,7 @@ def _bucketed(df: DataFrame, key: str, n: int, tag: str) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, cut at whole characters; null_id_sha256 names the text of a null doc_id)."""
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, cut at whole characters; text_sha256 names the whole text)."""
     spark = docs.sparkSession
     if width < 2 * K or width % 8:
         raise ValueError(f"width is a multiple of 8 and at least {2 * K}")
@@ -460,4 +460,4 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataF
     texts = own.groupBy("block").cogroup(asked.groupBy("to_block")).applyInArrow(_fetch(width), "bucket long, piece binary, lens binary, text binary")
     holders = decided.where("kind = 0").select("at", "a", "b", "c", "d")
     found = materialize(holders.groupBy("at").cogroup(texts.groupBy("bucket")).applyInArrow(_sort(width), "to long, local binary, first binary, last binary"), "suffix-runs")
-    return blocks.select("block", "ids", "nulls", "ends", "text", "starts", "windows", "which").groupBy("block").cogroup(found.groupBy("to")).applyInArrow(_apply(width, with_text), _OUT + ", kept_text string, null_id_sha256 string" * with_text)
+    return blocks.select("block", "ids", "nulls", "ends", "text", "starts", "windows", "which").groupBy("block").cogroup(found.groupBy("to")).applyInArrow(_apply(width, with_text), _OUT + ", kept_text string, text_sha256 string" * with_text)

@@ -37,3 +37,14 @@ def test_null_and_repeated_ids_are_told_apart(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in near) == [-1, 7]
     mixed = corpus_pipeline.source_mix(spark, kept, "").collect()
     assert 0 < len(mixed) <= 3 * kept.count()
+
+
+def test_texts_of_one_id_are_kept_and_cut_apart(spark):
+    shared = prose(60, 80)
+    a, b, c = (prose(600 + i, 150) for i in range(3))
+    rows = [(7, f"{a} {shared}"), (7, f"{b} {shared}"), (7, f"{c} more"), (3, c), (7, f"{a} {shared}")]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = corpus_pipeline.near_copies(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted([rows[0], rows[1], rows[3]])
+    cut = sorted((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, near, "").collect())
+    assert len(cut) == 3 and (3, c) in cut and not any(shared in t for _, t in cut)
