@@ -1,7 +1,15 @@
 """The pipeline's stages on a fixture with planted cases."""
 
+import collections
+import zlib
+
 import corpus_pipeline
-from test_operators import prose
+import duckdb
+import numpy as np
+from test_operators import BPE, components, prose
+from tokenizers import Tokenizer
+
+from tarnwick.llm import oracles
 
 
 def test_stages(spark):
@@ -48,3 +56,49 @@ def test_texts_of_one_id_are_kept_and_cut_apart(spark):
     assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted([rows[0], rows[1], rows[3]])
     cut = sorted((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, near, "").collect())
     assert len(cut) == 3 and (3, c) in cut and not any(shared in t for _, t in cut)
+
+
+def test_run_equals_brute_force(spark, sf):
+    """run()'s whole rows but for the windows' numbers: rules and mix by their SQL, near copies, cuts and pieces by plain Python."""
+    sf = sf.replace("0.01", "0.001")
+    db = duckdb.connect()
+    docs = db.execute(f"SELECT doc_id, text, source FROM '{sf}/documents.parquet'").fetchall()
+
+    def ask(sql, columns):
+        db.execute("CREATE OR REPLACE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+        return db.execute(f"SELECT {columns} FROM ({sql})").fetchall()
+
+    sizes = [len(docs)]
+    good = {d for d, kept in ask(oracles.QUALITY_RULES, "doc_id, kept") if kept}
+    docs = [d for d in docs if d[0] in good]
+    sizes.append(len(docs))
+    first = {d for d, _, least in components([d[:2] for d in docs], 5, 80) if d == least}
+    docs = [d for d in docs if d[0] in first]
+    sizes.append(len(docs))
+    texts = [d[1].encode() for d in docs]
+    seen = collections.Counter(x[i : i + 200] for x in texts for i in range(len(x) - 199))
+    n_cut, cut = 0, []
+    for (doc, _, source), x in zip(docs, texts, strict=True):
+        gone = {i + k for i in range(len(x) - 199) if seen[x[i : i + 200]] > 1 for k in range(200)}
+        n_cut += len(gone)
+        cut.append((doc, bytes(c for i, c in enumerate(x) if i not in gone).decode("utf-8", "ignore"), source))
+    docs = [d for d in cut if d[1].encode().split()]
+    copies = {d: taken // size for d, size, taken in ask(oracles.SOURCE_MIXING, "doc_id, size, taken")}
+    assert sizes[0] > sizes[1] > sizes[2] and n_cut and {0, 1} < set(copies.values())
+    tokenizer, want = Tokenizer.from_file(BPE), collections.Counter()
+    for doc, text, _ in docs:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        while at < len(ids):
+            size = 1024 if len(ids) - at >= 1024 else min(128, len(ids) - at)
+            want[doc, at, size, zlib.crc32(ids[at : at + size].tobytes()), len(ids)] += copies[doc]
+            at += size
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert collections.Counter((g.doc_id, g.start, g.length, g.ids_crc32, g.doc_tokens) for g in got) == +want
+    held = collections.defaultdict(list)
+    for g in got:
+        held[g.sequence_id].append((g.offset, g.length))
+    for parts in held.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(k for _, k in parts[:i]) for i in range(len(parts))] and sum(k for _, k in parts) <= 1024
