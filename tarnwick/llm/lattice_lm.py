@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 
 from .common import even_keys, fold, materialize, partitions
 
-LONGEST = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = string.punctuation.encode()
 _STATE = {c: i + 1 for i, c in enumerate(_MARKS)}
@@ -103,7 +102,7 @@ class Lattice:
     """Pieces and their log weights; words start with a space byte, which stands for the vocabulary's word mark."""
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
-        self.pieces, self.logp = pieces, logp
+        self.pieces, self.logp, self.longest = pieces, logp, max(map(len, pieces))
         codes = np.array([self._code(p) for p in pieces], np.uint64)
         self.order = np.argsort(codes)
         self.codes = codes[self.order]
@@ -124,7 +123,7 @@ class Lattice:
         alive_all = a != 255
         for i in range(width):
             h = np.zeros(len(a), np.uint64)
-            for j in range(i, min(width, i + LONGEST)):
+            for j in range(i, min(width, i + self.longest)):
                 if not alive_all[:, j].any():
                     break
                 h = h * _P + b[:, j]
@@ -182,7 +181,7 @@ class Lattice:
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Lower-case pieces of a sentencepiece model and log weights from its scores; every byte is a piece.
 
-    A BPE model's score is minus its rank: weight 1 / (rank + 10). Pieces longer than LONGEST bytes match no edge.
+    A BPE model's score is minus its rank: weight 1 / (rank + 10). Pieces of every length are edges.
     """
     import sentencepiece
 
@@ -192,7 +191,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
             continue
         piece = sp.id_to_piece(i).replace("▁", " ").encode()
-        if len(piece) <= LONGEST and b" " not in piece[1:] and piece == piece.lower():
+        if b" " not in piece[1:] and piece == piece.lower():
             weight[piece] = max(weight.get(piece, 0.0), 1 / (10 - sp.get_score(i)))
     pieces = sorted(weight)
     w = np.array([weight[p] for p in pieces])

@@ -225,6 +225,23 @@ def test_op6_lattice_sums_all_segmentations():
     assert sum(u * len(p) for u, p in zip(uses, pieces, strict=True)) == pytest.approx(7)
 
 
+def test_op6_long_pieces_of_the_file_are_edges():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    usable = {sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    long = [p for p in usable if len(p) > 16 and b" " not in p[1:] and p == p.lower()]
+    pieces, logp = lattice_lm.vocabulary(PIECES)
+    weight, lattice = dict(zip(pieces, logp, strict=True)), lattice_lm.Lattice(pieces, logp)
+    assert long and set(long) <= set(pieces)
+    for p in long:
+        if p[:1] == b" ":
+            sums = [1.0]
+            for j in range(1, len(p) + 1):
+                sums.append(sum(sums[i] * math.exp(weight[p[i:j]]) for i in range(j) if p[i:j] in weight))
+            assert lattice.forward([p[1:]])[0] == pytest.approx(math.log(sums[-1]))
+
+
 def test_op6_score_is_the_stated_formula(spark):
     """Every document's score by the docstring's formula, word by word, with the vocabulary's own weights."""
     texts = {i: t for i, t in enumerate(["nation and, and! nation", "And nation, ... land's", "", "sea, land sea!!! nation, nation", "unseen, unseen. and... sea?"] * 2)}
