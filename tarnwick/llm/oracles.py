@@ -54,9 +54,10 @@ f AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(ar
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
       10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR n_upper > n_lower OR word_chars > 15 * n_words AS soft_failed FROM f),
 o AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed OR soft_failed) AS DOUBLE) AS failed FROM b GROUP BY source),
-m AS (SELECT sum(n) AS n, sum(failed) AS f, sum(failed * failed / n) AS sq, count(*) AS hosts, (sum(failed) + 0.5) / (sum(n) + 1.0) AS mean FROM o),
-v AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(sq / n - (f / n) * (f / n) - mean * (1 - mean) * hosts / n, 1e-6) - 1, 2.0), 1000.0) AS strength FROM m),
-rate AS (SELECT source, (failed + mean * strength) / (n + strength) AS host_rate FROM o, v)
+m AS (SELECT (sum(failed) + 0.5) / (sum(n) + 1.0) AS mean, sum(failed * failed / n) / sum(n) - (sum(failed) / sum(n)) * (sum(failed) / sum(n)) AS variance FROM o),
+v AS (SELECT mean, greatest(mean * (1 - mean) / greatest(variance, 1e-12) - 1, 0.0) AS strength FROM m),
+rate AS (SELECT source, greatest((failed + mean * strength) / (n + strength), 0.5 / (n + 1)) AS host_rate, mean, sqrt(mean * (1 - mean) / (strength + 1)) AS deviation FROM o, v),
+scaled AS (SELECT *, mean / host_rate AS scale, host_rate >= 0.5 AND host_rate > mean + 2 * deviation AS host_bad FROM rate)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND CASE WHEN soft_failed THEN host_rate <= 0.01 ELSE host_rate < 0.6 END AS kept
-FROM b JOIN rate ON b.source IS NOT DISTINCT FROM rate.source"""
+       NOT (base_failed OR host_bad OR 10 * n_symbols > n_words * scale OR 10 * n_dup_lines > 3 * n_lines * scale OR n_upper > n_lower * scale OR word_chars > 15 * (n_words * scale)) AS kept
+FROM b JOIN scaled ON b.source IS NOT DISTINCT FROM scaled.source"""

@@ -5,8 +5,12 @@ Per host: rule failures are counted over all its documents and the rate is shrun
 prior fitted to the hosts' own rates (method of moments). The host verdict goes back to the documents:
 
 * a document that fails a base rule is rejected, whatever its host;
-* one that fails only a soft rule is rejected unless its host is trusted (shrunk rate at most ``trust``);
-* one that fails no rule is rejected only if its host is bad (shrunk rate at least ``bad``).
+* a host whose shrunk rate is at least ``bad`` and above the prior by ``apart`` of its standard deviations is rejected;
+* else the soft rules decide, their limits scaled by the host's standing, prior mean / shrunk rate: a host that fails
+  half as often as the corpus may have twice the symbols, repeated lines and so on, one that fails more has less.
+
+So every host's rate moves its documents' limits, in proportion and without a switch; at the corpus rate they are as
+stated. A clean document is rejected with its host alone.
 
 Defined cases: null or empty text has no words and fails the base rule; a null source is a host of its own; repeated
 rows count as often as they occur; an empty table gives an empty result; other columns are ignored.
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -86,30 +90,43 @@ def features(docs: DataFrame) -> DataFrame:
     )
     n = F.col("n_words")
     base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    soft = (10 * F.col("n_symbols") > n) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")) | (F.col("n_upper") > F.col("n_lower")) | (F.col("word_chars") > 15 * n)
-    return counted.withColumn("base_failed", base).withColumn("soft_failed", soft)
+    return counted.withColumn("base_failed", base).withColumn("soft_failed", soft_rules(F.lit(1.0)))
+
+
+def soft_rules(scale: Column) -> Column:
+    """Whether a count exceeds its limit times scale: a tenth of the words in symbols, 30 % of the lines repeated,
+    more upper than lower case, 15 characters a word."""
+    n = F.col("n_words") * scale
+    return (10 * F.col("n_symbols") > n) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines") * scale) | (F.col("n_upper") > F.col("n_lower") * scale) | (F.col("word_chars") > 15 * n)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Moments of the hosts' failure rates, weighted by documents, as (alpha, beta). hosts: n, failed."""
+    """Moments of the hosts' failure rates, weighted by documents, as (mean, strength): alpha + beta is the strength.
+
+    The variance is that of the rates as they are, their sampling noise included, so hosts are shrunk on the mild side.
+    hosts: n, failed.
+    """
     rate = F.col("failed") / F.col("n")
-    m = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("n") * rate * rate).alias("sq"), F.count("*").alias("hosts")).first()
+    m = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("n") * rate * rate).alias("sq")).first()
     if not m["n"]:
-        return 1.0, 1.0
+        return 0.5, 2.0
     mean = (m["f"] + 0.5) / (m["n"] + 1.0)
-    between = m["sq"] / m["n"] - (m["f"] / m["n"]) ** 2 - mean * (1 - mean) * m["hosts"] / m["n"]
-    strength = mean * (1 - mean) / max(between, 1e-6) - 1
-    strength = min(max(strength, 2.0), 1000.0)
-    return mean * strength, (1 - mean) * strength
+    variance = m["sq"] / m["n"] - (m["f"] / m["n"]) ** 2
+    return mean, max(mean * (1 - mean) / max(variance, 1e-12) - 1, 0.0)
 
 
-def quality_rules(docs: DataFrame, trust: float = 0.01, bad: float = 0.6) -> DataFrame:
-    """docs(doc_id, source, text) -> doc_id, the counts, base_failed, kept, soft_failed, host_rate, source, text_hash."""
+def quality_rules(docs: DataFrame, bad: float = 0.5, apart: float = 2.0) -> DataFrame:
+    """docs(doc_id, source, text) -> doc_id, the counts, base_failed, kept, soft_failed, host_rate, host_scale, host_bad, source, text_hash."""
     rows = materialize(features(docs), "quality-rules")
     hosts = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed"))
-    alpha, beta = beta_prior(hosts)
-    verdicts = hosts.select(F.col("source").alias("host"), ((F.col("failed") + alpha) / (F.col("n") + alpha + beta)).alias("host_rate"))
-    kept = ~F.col("base_failed") & F.when(F.col("soft_failed"), F.col("host_rate") <= trust).otherwise(F.col("host_rate") < bad)
+    mean, strength = beta_prior(hosts)
+    rate = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+    # A host without a failure, in a table whose prior has no strength, is as good as one with half a failure.
+    verdicts = hosts.select(F.col("source").alias("host"), F.greatest(rate, F.lit(0.5) / (F.col("n") + 1)).alias("host_rate"))
+    deviation = (mean * (1 - mean) / (strength + 1)) ** 0.5
+    verdicts = verdicts.withColumn("host_scale", F.lit(mean) / F.col("host_rate"))
+    verdicts = verdicts.withColumn("host_bad", (F.col("host_rate") >= bad) & (F.col("host_rate") > mean + apart * deviation))
+    kept = ~F.col("base_failed") & ~F.col("host_bad") & ~soft_rules(F.col("host_scale"))
     return rows.join(verdicts, rows["source"].eqNullSafe(verdicts["host"]), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "soft_failed", "host_rate", "source", "text_hash"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "soft_failed", "host_rate", "host_scale", "host_bad", "source", "text_hash"
     )

@@ -318,3 +318,29 @@ def test_op10(odd, none):
     assert sorted((-1 if g[0] is None else g[0], *g[1:6]) for g in got) == want
     assert all(g.base_failed == (g.n_words < 50 or 100 * g.n_repeat_words > 50 * g.n_words) and not (g.base_failed and g.kept) for g in got)
     assert quality_rules.quality_rules(none).count() == 0
+
+
+def host_documents():
+    """(doc_id, source, text): a host that fails mostly, one that fails never, and ordinary ones with the same borderline document."""
+    clean = [prose(900 + i, 60) for i in range(60)]
+    borderline, symbols = prose(990, 60) + " # # # # # # #", prose(991, 60) + " #" * 20
+    rows = [(i, "bad", symbols if i % 10 else clean[0]) for i in range(40)] + [(100 + i, "good", clean[i % 60]) for i in range(200)]
+    for k in range(6):
+        rows += [(1000 + 100 * k + i, f"plain{k}", symbols if i % 8 == k else clean[i]) for i in range(60)]
+    return [*rows, (5000, "good", borderline), (5001, "plain1", borderline), (5002, "bad", borderline), (5003, None, borderline), (None, "plain1", symbols)]
+
+
+def test_op10_host_verdicts_change_documents(spark):
+    docs = spark.createDataFrame(host_documents(), "doc_id long, source string, text string").repartition(3)
+    got = quality_rules.quality_rules(docs).collect()
+    rate = {g.source: g.host_rate for g in got}
+    n, failed = collections.Counter(g.source for g in got), collections.Counter(g.source for g in got if g.base_failed or g.soft_failed)
+    total, mean = sum(n.values()), (sum(failed.values()) + 0.5) / (sum(n.values()) + 1)
+    variance = sum(n[s] * (failed[s] / n[s]) ** 2 for s in n) / total - (sum(failed.values()) / total) ** 2
+    strength = max(mean * (1 - mean) / variance - 1, 0)
+    assert all(rate[s] == pytest.approx((failed[s] + mean * strength) / (n[s] + strength)) for s in n)
+    assert {g.source for g in got if g.host_bad} == {"bad"} and not any(g.kept for g in got if g.source == "bad")
+    assert sum(not g.base_failed and not g.soft_failed for g in got if g.source == "bad") == 4  # rejected with their host alone
+    kept = {g.doc_id: g.kept for g in got}
+    assert kept[5000] and not kept[5001] and not kept[5002] and not kept[None]  # the same text: spared on the good host alone
+    assert all(g.kept for g in got if not g.soft_failed and g.source != "bad")
