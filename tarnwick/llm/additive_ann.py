@@ -1,14 +1,21 @@
 """Approximate nearest neighbours by additive quantisation (operator 2), largest inner product first.
 
 Fit (bounded sample): full-dimensional residual codebooks by k-means, then joint least squares of all codebooks given
-the codes, as additive quantisation has it. Encode: beam search over the codebooks for every row; codes and norms are
-stored. Search: per block of rows a lookup table of query-codeword products scores all codes, scaled by the stored
-norms; the best ``rerank`` of each block are scored exactly in double precision and the ``k`` best go on. Blocks of
-rows meet blocks of queries as a two-dimensional grid, so neither side is gathered or broadcast whole.
-
-Defined cases: vectors that are null, of another length than the sample's, zero, or with null or non-finite components
-take no part; equal scores go to the smaller vec_id; a repeated vec_id is a candidate each time, but never its own
-query's; with fewer than k candidates all are returned; an empty table gives an empty result.
+the codes, solved a codebook at a time, as additive quantisation has it. Encode: beam search over the codebooks for
+every row; codes and norms are stored. Search, for every query: lookup tables of query-codeword products score all
+codes, scaled by the stored norms; of each block the best few go on, as many as an even dealing of the ``shortlist``
+over the blocks can need; the best ``shortlist`` over all blocks are fetched and scored exactly in double precision.
+
+Rows of equal vectors are one entry with their k + 1 smallest ids, and equal queries are searched once: no query can
+need more of such rows, so nothing is lost and a common vector is no hot key. Blocks of codes meet blocks of queries as
+a two-dimensional grid (codes and queries move there, vectors don't); per query the candidates are ranked by a window
+that limits them before they move, and vectors are fetched by a merge join, whose large keys can be split. The work
+grows with rows times queries: the lookup pass reads every code for every query.
+
+Defined cases: vectors that are null, empty, zero, or with null or non-finite components, and null ids, take no part;
+vectors of each length are searched among themselves; equal scores go to the smaller vec_id; rows with a repeated
+vec_id are candidates each and, as queries, have results each, barred from their own row alone; with fewer than k
+candidates all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,12 +23,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import even_keys, materialize, partitions
+from .common import materialize
+
+
+def sums_by(at: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Sums of the rows of x by their number in 0..k-1."""
+    return (at == np.arange(k)[:, None]).astype(x.dtype) @ x
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -29,9 +41,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     for _ in range(rounds):
         near = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        c[n > 0] = sums[n > 0] / n[n > 0, None]
+        c[n > 0] = sums_by(near, x, k)[n > 0] / n[n > 0, None]
         c[n == 0] = x[rng.choice(len(x), int((n == 0).sum()))]
     return c
 
@@ -57,7 +67,8 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[b][codes[:, b]] for b in range(len(books)))
 
 
-def fit(x: np.ndarray, n_books: int, n_codes: int, beam: int, seed: int = 3) -> np.ndarray:
+def fit(x: np.ndarray, n_books: int, n_codes: int, beam: int, seed: int = 3, sweeps: int = 6) -> np.ndarray:
+    """Residual codebooks, then twice: codes by beam search, and least squares by sweeps over the codebooks."""
     rng, rest, books = np.random.default_rng(seed), x.copy(), []
     for _ in range(n_books):
         c = kmeans(rest, n_codes, 8, rng)
@@ -65,14 +76,13 @@ def fit(x: np.ndarray, n_books: int, n_codes: int, beam: int, seed: int = 3) ->
         books.append(c)
     books = np.stack(books).astype(np.float32)
     for _ in range(2):
-        at = encode(x, books, beam).astype(np.int64) + np.arange(n_books) * n_codes
-        gram, cross = np.zeros((n_books * n_codes,) * 2), np.zeros((n_books * n_codes, x.shape[1]))
-        for b in range(n_books):
-            np.add.at(cross, at[:, b], x)
-            for other in range(n_books):
-                np.add.at(gram, (at[:, b], at[:, other]), 1)
-        gram[np.diag_indices(len(gram))] += 1e-2
-        books = (np.linalg.solve(gram, cross + 1e-2 * books.reshape(len(gram), -1))).reshape(books.shape).astype(np.float32)
+        at = encode(x, books, beam).astype(np.int64)
+        rest = x - decode(at, books)
+        for _ in range(sweeps):
+            for b in range(n_books):
+                step = sums_by(at[:, b], rest, n_codes) / (np.bincount(at[:, b], minlength=n_codes) + np.float32(1e-2))[:, None].astype(np.float32)
+                books[b] += step
+                rest -= step[at[:, b]]
     return books
 
 
@@ -82,93 +92,149 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda c: c != 0)
 
 
-def best_in_block(queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, vectors: np.ndarray, books: np.ndarray, own: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, exact scores) of each query's k best in a block of rows sorted by id; -1 where there are fewer."""
-    approx = np.zeros((len(queries), len(ids)))
+def lookup(queries: np.ndarray, codes: np.ndarray, scale: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Approximate products (rows x queries): a table of codeword products for each codebook, added up by the codes."""
+    out = np.zeros((len(codes), len(queries)), np.float32)
     for b in range(len(books)):
-        approx += (queries @ books[b].T.astype(float))[:, codes[:, b]]
-    approx *= scale
-    approx -= np.arange(len(ids)) * (1e-13 * max(1e-9, np.abs(approx).max()))  # equal codes: the smaller id first
-    approx[own[:, None] == ids] = -np.inf
-    r = min(rerank, len(ids))
-    top = np.argpartition(-approx, r - 1, axis=1)[:, :r] if r < len(ids) else np.tile(np.arange(r), (len(queries), 1))
-    exact = np.where(own[:, None] == ids[top], -np.inf, (queries[:, None, :] * vectors[top]).sum(2))
-    order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-    top, exact = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-    return np.where(np.isneginf(exact), -1, top), exact
-
-
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_books: int = 24, n_codes: int = 64, beam: int = 4, most_fitted: int = 8192, block_rows: int = 2048, rerank: int = 192, query_rows: int = 256, grid_queries: int = 16_384) -> DataFrame:
+        out += (books[b] @ queries.T)[codes[:, b]]
+    return out * scale[:, None]
+
+
+def quota(shortlist: int, blocks: int) -> int:
+    """How many of a block go on: the mean share of the shortlist and three deviations more."""
+    mean = shortlist / blocks
+    return int(np.ceil(mean + 3 * np.sqrt(mean))) + 1 if blocks > 1 else shortlist
+
+
+def _fixed(a: np.ndarray, width: int) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(a), [None, pa.py_buffer(np.ascontiguousarray(a).tobytes())]).cast(pa.binary())
+
+
+def _raw(t: pa.Table | pa.RecordBatch, c: str, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t[c].to_pylist()), kind).reshape(-1, width)
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_books: int = 32, n_codes: int = 64, beam: int = 4, most_fitted: int = 8192, block_rows: int = 16_384, query_rows: int = 1024, shortlist: int = 320) -> DataFrame:
     """vectors(vec_id, embedding) -> query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    n = rows.count()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], out)
-    share = min(1.0, most_fitted / n)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_fitted).collect() or rows.limit(1).collect()
-    d = int(pd.Series([len(r[1]) for r in drawn]).mode()[0])
-    books = spark.sparkContext.broadcast(fit(np.array([r[1] for r in drawn if len(r[1]) == d], np.float32), n_books, n_codes, beam))
-    rows = rows.where(F.size("embedding") == d)
-
-    n_blocks, n_grid, n_query_blocks = -(-n // block_rows), -(-n // (every * grid_queries)), -(-n // (every * query_rows))
-    p = partitions(spark)
-    cells = even_keys(n_blocks * n_grid, p)
-    owners = even_keys(n_query_blocks, p)
+    narrow = "float" in vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if narrow else "array<double>"))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    found = [_search(rows.where(F.size("embedding") == d), d, np.float32 if narrow else np.float64, every, k, n_books, n_codes, beam, most_fitted, block_rows, query_rows, shortlist) for (d,) in rows.select(F.size("embedding")).distinct().collect()]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _search(rows: DataFrame, d: int, kind, every: int, k: int, n_books: int, n_codes: int, beam: int, most_fitted: int, block_rows: int, query_rows: int, shortlist: int) -> DataFrame:
+    """nearest() over usable vectors of one length d."""
+    spark, wide = rows.sparkSession, d * np.dtype(kind).itemsize
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten(), kind).reshape(batch.num_rows, d) + kind(0)  # no negative zeros
+            keys = [xxhash.xxh3_128_digest(v.tobytes()) for v in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), _fixed(x, wide)], names=["vec_id", "key", "vector"])
+
+    pressed = materialize(rows.mapInArrow(press, "vec_id long, key binary, vector binary"), "ann-rows")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
+    members = pressed.withColumn("place", first).where(F.col("place") <= k + 1)
+    classes = members.groupBy("key").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    asked = pressed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("key").alias("query_key"))
+    classes = classes.join(asked.select("query_key").distinct(), F.col("key") == F.col("query_key"), "left").withColumn("wanted", F.col("query_key").isNotNull()).drop("query_key")
+    classes = materialize(classes, "ann-classes")
+    n, n_queries = classes.agg(F.count("*"), F.count_if("wanted")).first()
+    drawn = classes.select("vector").orderBy("key").limit(most_fitted).collect()  # the key is a hash
+    books = spark.sparkContext.broadcast(fit(np.stack([np.frombuffer(r[0], kind) for r in drawn]).astype(np.float32), n_books, n_codes, beam))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                x = np.array(part.column(1).flatten(), float).reshape(part.num_rows, d)
-                codes = encode(x.astype(np.float32), books.value, beam)
+                x = _raw(part, "vector", kind, d).astype(np.float32)
+                codes = encode(x, books.value, beam)
                 made = np.linalg.norm(decode(codes, books.value), axis=1)
                 scale = np.linalg.norm(x, axis=1) / np.maximum(made, 1e-12)
-                fixed = lambda a, w: pa.FixedSizeBinaryArray.from_buffers(pa.binary(w), len(a), [None, pa.py_buffer(np.ascontiguousarray(a).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), fixed(codes, n_books), pa.array(scale), fixed(x, 8 * d)], names=["vec_id", "codes", "scale", "vector"])
-
-    coded = rows.mapInArrow(index, "vec_id long, codes binary, scale double, vector binary")
-    coded = materialize(coded, "ann-index")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1)))
-    spread = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m))
-    keys = F.array(*[F.lit(c) for c in cells]) if len(cells) <= 1000 else None
-    key = lambda cell: F.element_at(keys, (cell + 1).cast("int")) if keys is not None else cell
-    data = coded.withColumn("g", grid).withColumn("cell", key(spread("vec_id", n_blocks, 1) * n_grid + F.col("g"))).drop("g")
-    queries = coded.where(F.col("vec_id") % every == 0).select("vec_id", "vector")
-    queries = queries.withColumn("g", spread("vec_id", n_grid, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    queries = queries.withColumn("cell", key(F.col("block") * n_grid + F.col("g"))).select(F.col("cell").alias("at"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+                yield pa.RecordBatch.from_arrays([part["key"], _fixed(codes, n_books), pa.array(scale.astype(np.float32))], names=["key", "codes", "scale"])
+
+    coded = materialize(classes.select("key", "vector").mapInArrow(index, "key binary, codes binary, scale float"), "ann-codes")
+    n_blocks, n_groups = -(-n // block_rows), max(1, -(-n_queries // query_rows))
+    group = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(n_groups))
+    block = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(n_blocks))
+    over = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))  # noqa: E731  both sides' keys are of one type
+
+    def joined(names: list[str]):
+        def run(table: pa.Table) -> pa.Table:
+            return pa.table([[table["at"][0].as_py()], *([b"".join(table[c].to_pylist())] for c in names)], names=["at", *names])
+
+        return run
+
+    codes = coded.select(block.alias("at"), "key", "codes", F.col("scale")).groupBy("at")
+
+    def one_block(table: pa.Table) -> pa.Table:
+        return pa.table([[table["at"][0].as_py()], [b"".join(table["key"].to_pylist())], [b"".join(table["codes"].to_pylist())], [table["scale"].to_numpy().astype(np.float32).tobytes()]], names=["at", "keys", "codes", "scales"])
+
+    codes = codes.applyInArrow(one_block, "at long, keys binary, codes binary, scales binary")
+    queries = classes.where("wanted").select(group.alias("at"), "key", "vector").groupBy("at").applyInArrow(joined(["key", "vector"]), "at long, key binary, vector binary")
+    data = codes.withColumn("g", over(n_groups)).select("g", F.col("at").alias("b"), "keys", "codes", "scales")
+    wanted = queries.withColumn("block", over(n_blocks)).select(F.col("at").alias("group"), "block", "key", "vector")
+    r = quota(shortlist, n_blocks)
 
     def search(data: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ["query", "row", "near"]
         if not data.num_rows or not queries.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 3)], names=["owner", "queries", "ids", "scores"])
-        order = np.argsort(data["vec_id"].to_numpy(), kind="stable")
-        raw = lambda t, c, kind, w: np.frombuffer(b"".join(t[c].to_pylist()), kind).reshape(-1, w)
-        ids, codes, scale, x = data["vec_id"].to_numpy()[order], raw(data, "codes", np.uint8, n_books)[order], data["scale"].to_numpy()[order], raw(data, "vector", float, d)[order]
-        q, own = raw(queries, "query", float, d), queries["query_id"].to_numpy()
-        made: dict[int, list] = {}
-        for start in range(0, len(ids) and len(q), 256):
-            part = slice(start, start + 256)
-            at, score = best_in_block(q[part], ids, codes, scale, x, books.value, own[part], k, rerank)
-            for query, a, s in zip(own[part].tolist(), at, score, strict=True):
-                ok = a >= 0
-                made.setdefault(owners[hash(query) % n_query_blocks], []).append((query, ids[a[ok]], s[ok]))
-        packed = [
-            (owner, np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int64).tobytes(), np.concatenate([x[1] for x in found]).tobytes(), np.concatenate([x[2] for x in found]).tobytes())
-            for owner, found in made.items()
-        ]
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*packed, strict=True) if packed else [[]] * 4, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["owner", "queries", "ids", "scores"])
-
-    found = data.groupBy("cell").cogroup(queries.groupBy("at")).applyInArrow(search, "owner long, queries binary, ids binary, scores binary")
-
-    def merge(table: pa.Table) -> pa.Table:
-        q, ids = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("queries", "ids"))
-        scores = np.frombuffer(b"".join(table["scores"].to_pylist()), float)
-        order = np.lexsort((ids, -scores, q))
-        q, ids, scores = q[order], ids[order], scores[order]
-        first = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
-        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) + 1
-        keep = rank <= k
-        return pa.table([q[keep], rank[keep].astype(np.int32), ids[keep], scores[keep]], names=["query_id", "rank", "vec_id", "score"])
-
-    return found.groupBy("owner").applyInArrow(merge, out)
+            return pa.table([pa.array([], t) for t in (pa.binary(), pa.binary(), pa.float32())], names=names)
+        own, out = np.frombuffer(data["keys"][0].as_py(), "V16"), []
+        codes, scale = np.frombuffer(data["codes"][0].as_py(), np.uint8).reshape(-1, n_books), np.frombuffer(data["scales"][0].as_py(), np.float32)
+        ids, q = np.frombuffer(queries["key"][0].as_py(), "V16"), np.frombuffer(queries["vector"][0].as_py(), kind).reshape(-1, d).astype(np.float32)
+        for start in range(0, len(q), 128):
+            near = lookup(q[start : start + 128], codes, scale, books.value).T
+            keep = min(r, near.shape[1])
+            top = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < near.shape[1] else np.tile(np.arange(keep), (len(near), 1))
+            out.append((np.repeat(ids[start : start + 128], keep), own[top.ravel()], np.take_along_axis(near, top, 1).ravel()))
+        query, row, near = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table([_fixed(query, 16), _fixed(row, 16), pa.array(near)], names=names)
+
+    near = data.groupBy("g", "b").cogroup(wanted.groupBy("group", "block")).applyInArrow(search, "query binary, row binary, near float")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "row"))
+    chosen = near.withColumn("place", best).where(F.col("place") <= shortlist).select("query", "row")
+
+    # Exact scores: the chosen rows' vectors are fetched, then each group's queries come to theirs.
+    chosen = materialize(chosen, "ann-chosen")
+    cells = max(1, -(-n_queries // 128))
+    cell = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(cells))
+    fetched = chosen.hint("merge").join(classes.select("key", "vector", "ids"), F.col("row") == F.col("key")).select(cell("query").alias("cell"), "query", "row", F.col("vector").alias("row_vector"), "ids")
+    theirs = classes.where("wanted").select(cell("key").alias("at"), "key", "vector")
+
+    def rerank(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        vector = dict(zip(queries["key"].to_pylist(), queries["vector"].to_pylist(), strict=True))
+        held: dict[bytes, tuple[list, list, list]] = {}
+        for q, row, v, ids in zip(*(rows[c].to_pylist() for c in ("query", "row", "row_vector", "ids")), strict=True):
+            at = held.setdefault(q, ([], [], []))
+            at[0].append(row)
+            at[1].append(v)
+            at[2].append(ids)
+        keys, ids, scores, own = [], [], [], []
+        for q, (rows_of, vectors_of, ids_of) in held.items():
+            x = np.frombuffer(b"".join(vectors_of), kind).reshape(-1, d).astype(float)
+            s = (x * np.frombuffer(vector[q], kind).astype(float)).sum(1)
+            times = [len(v) for v in ids_of]
+            flat, score = np.concatenate(ids_of), np.repeat(s, times)
+            same = np.repeat([v == q for v in rows_of], times)
+            order = np.lexsort((flat, -score))[: k + 1]
+            keys.append(q)
+            ids.append(flat[order])
+            scores.append(score[order])
+            own.append(same[order])
+        return pa.table([pa.array(keys, pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64())), pa.array(own, pa.list_(pa.bool_()))], names=["key", "ids", "scores", "own"])
+
+    exact = theirs.groupBy("at").cogroup(fetched.groupBy("cell")).applyInArrow(rerank, "key binary, ids array<long>, scores array<double>, own array<boolean>")
+    # A query's own row is one entry of its id and its vector, if it is among the first k + 1 at all.
+    every_query = asked.hint("merge").join(exact, F.col("query_key") == F.col("key"))
+    place = F.array_position(F.zip_with("ids", "own", lambda i, o: o & (i == F.col("query_id"))), True)
+    pairs = F.filter(F.arrays_zip("ids", "scores"), lambda _, i: i + 1 != F.col("place"))
+    out = every_query.withColumn("place", place).select("query_id", F.posexplode(F.slice(pairs, 1, k)).alias("rank", "hit"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))

@@ -71,28 +71,53 @@ def test_op1(odd, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def neighbours(rows, every=20, k=20):
+    """Brute force: (query_id, rank, vec_id, score) of every query row, each barred from its own row alone."""
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    out = []
+    for at, (q, x) in enumerate(ok):
+        if q % every == 0:
+            scored = sorted((-float((x * y).sum()), i) for j, (i, y) in enumerate(ok) if j != at and len(y) == len(x))
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+ANN = "vec_id long, embedding array<float>, key string, query_id int, ids array<int>"
+
+
 def test_op2(spark):
     r = np.random.default_rng(1)
-    x = r.standard_normal((900, 16))
-    x[100:160] = x[7]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (2080, [1.0])]
-    got = additive_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    by = collections.defaultdict(list)
-    for q in sorted(got):
-        by[q.query_id].append(q)
-    hits = 0
-    for q in range(0, 900, 20):
-        s = (x[q] * x).sum(1)
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(900), -s))[:20]
-        assert [v.rank for v in by[q]] == list(range(1, 21)) and all(abs(v.score - s[v.vec_id]) < 1e-12 for v in by[q])
-        hits += len({v.vec_id for v in by[q]} & set(want.tolist()))
-    assert set(by) == set(range(0, 900, 20)) and hits / (45 * 20) >= 0.9
-    assert additive_ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    few = additive_ann.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.5])], "vec_id long, embedding array<float>")).collect()
+    x = r.standard_normal((900, 16)).astype(np.float32)
+    x[100:160] = x[7]  # equal vectors, more than k + 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (2080, []), (2100, [float("inf")] * 16)]
+    rows += [(0, x[5].tolist()), (0, x[0].tolist()), (20, x[20].tolist()), (None, x[3].tolist())]  # repeated and null ids
+    rows += [(3000 + 10 * i, r.standard_normal(5).astype(np.float32).tolist()) for i in range(9)] + [(4000, [1.0] * 7)]  # other lengths
+    docs = spark.createDataFrame([(*v, "a", 1, [2]) for v in rows], ANN).repartition(3)
+    got = sorted(tuple(v) for v in additive_ann.nearest(docs, block_rows=200, query_rows=16).collect())
+    want = neighbours(rows)
+    size = lambda found: collections.Counter((q, rank) for q, rank, _, _ in found)
+    assert size(got) == size(want) and 4000 not in {q for q, *_ in got}
+    product = {i: v for i, v in rows[:900]}
+    assert all(s == pytest.approx(max(np.dot(np.array(product[q], float), np.array(product[i], float)), s)) for q, _, i, s in got if 0 < q < 900 and q != 20 and i > 20)
+    mine, true = collections.Counter((q, i) for q, _, i, _ in got), collections.Counter((q, i) for q, _, i, _ in want)
+    assert sum((mine & true).values()) / len(want) >= 0.95
+    small = [v for v in rows if v[1] and len(v[1]) < 16] + rows[:120:10] + rows[906:909]  # fewer rows than the shortlist: exact
+    docs = spark.createDataFrame([(*v, "a", 1, [2]) for v in small], ANN)
+    assert [(q, k, i, pytest.approx(s, abs=1e-9)) for q, k, i, s in neighbours(small)] == sorted(tuple(v) for v in additive_ann.nearest(docs).collect())
+    assert additive_ann.nearest(spark.createDataFrame([], ANN)).count() == 0
+    few = additive_ann.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.5])], "vec_id long, embedding array<double>")).collect()
     assert [(v.query_id, v.vec_id, v.score) for v in few] == [(0, 1, 2.0)]
 
 
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_op2_recall(spark, sf, scale):
+    """Recall against brute force on whole tables of two sizes (the README has a third)."""
+    table = spark.read.parquet(f"{sf.replace('0.01', scale)}/embeddings.parquet")
+    want = neighbours([(v.vec_id, v.embedding) for v in table.collect()])
+    got = {(v.query_id, v.vec_id) for v in additive_ann.nearest(table).collect()}
+    assert len(got) == len(want) and sum((q, i) in got for q, _, i, _ in want) / len(want) >= 0.9
+
+
 def test_op3(odd, none):
     from tokenizers import Tokenizer
 
