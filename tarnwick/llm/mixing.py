@@ -9,7 +9,9 @@ The prefix sum never gathers a source in one task: keys fall in ``BINS`` ordered
 aggregation, and only the one bin in which a source's budget ends is sorted row by row.
 
 Defined cases: null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in
-order; repeated rows are separate documents; equal keys are ordered by doc_id, size and a hash of the text; u depends on doc_id alone, so reruns agree.
+order; repeated rows are separate documents; equal keys are ordered by doc_id, size and a hash of the text; u depends
+on doc_id and text alone, so reruns agree and null or repeated ids of unlike texts have keys of their own; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-BINS = 4096
+BINS, LOW = 4096, 0.25
 _M = 2147483647
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) from the id by integer arithmetic that any SQL engine repeats."""
-    x = F.pmod(F.coalesce(doc_id, F.lit(-1)), F.lit(_M))
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the id and the text's md5, by integer arithmetic that any SQL engine repeats."""
+    named = F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+    x = (F.pmod(F.coalesce(doc_id, F.lit(-1)), F.lit(_M)) + named) % F.lit(_M)
     for k in (48271, 69621, 16807):
         x = (x * F.lit(k) + F.lit(11)) % F.lit(_M)
         x = (x * x + F.lit(12345)) % F.lit(_M)
@@ -33,9 +36,16 @@ def uniform(doc_id: Column) -> Column:
 
 
 def quality(text: Column, size: Column) -> Column:
-    """Weight 1 for prose-like mean word lengths, else 0.25."""
+    """Weight 1 for prose-like mean word lengths, else LOW."""
     mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.when(mean.between(3.5, 12.0), 1.0).otherwise(0.25)
+    return F.when(mean.between(3.5, 12.0), 1.0).otherwise(LOW)
+
+
+def key_bin(key: Column, size: Column) -> Column:
+    """An ordered bin of the key, by the mean of both weights' distributions: no bin is expected to hold more than two
+    shares of a source, whatever its documents' weights. Documents of size 0 take no words and stand after all bins."""
+    passed = 1 - (F.exp(-key) + F.exp(-LOW * key)) / 2
+    return F.when(size == 0, BINS).otherwise(F.least(F.floor(passed * BINS), F.lit(BINS - 1))).cast("int")
 
 
 def source_targets(sources: DataFrame, most: int = 3) -> DataFrame:
@@ -58,8 +68,8 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     text, size = F.col("text").cast("string"), F.col("size")
     d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text.alias("text"))
     d = d.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    d = d.select("doc_id", "source", "size", F.xxhash64(F.col("text").cast("binary")).alias("text_hash"), (-F.log(uniform(F.col("doc_id"))) / quality(F.coalesce("text", F.lit("")), size)).alias("key"))
-    d = materialize(d.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int")), "mixing")
+    d = d.select("doc_id", "source", "size", F.xxhash64(F.col("text").cast("binary")).alias("text_hash"), (-F.log(uniform(F.col("doc_id"), F.col("text"))) / quality(F.coalesce("text", F.lit("")), size)).alias("key"))
+    d = materialize(d.withColumn("bin", key_bin(F.col("key"), F.col("size"))), "mixing")
 
     bins = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), most)
@@ -68,9 +78,9 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
 
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = bins.withColumn("sum", F.sum("bin_size").over(upto)).join(targets, F.col("source").eqNullSafe(F.col("s")))
-    ends = ends.where(F.col("sum") >= F.col("budget")).groupBy("s").agg(F.min("bin").alias("end"), F.min_by(F.col("sum") - F.col("bin_size"), "bin").alias("passed"))
+    ends = ends.where((F.col("bin") < BINS) & (F.col("sum") >= F.col("budget"))).groupBy("s").agg(F.min("bin").alias("end"), F.min_by(F.col("sum") - F.col("bin_size"), "bin").alias("passed"))
     plan = targets.join(ends.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
-    plan = materialize(plan, "mixing-plan")
+    plan = materialize(plan.withColumn("end", F.coalesce("end", F.lit(-1))), "mixing-plan")  # no words: no bin is cut
 
     rows = d.join(plan, F.col("source").eqNullSafe(F.col("s")))
     out = lambda df, more: df.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + more).alias("copies"), "text_hash")

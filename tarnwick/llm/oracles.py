@@ -6,7 +6,7 @@ _W = r"'[^\x20\x09-\x0D]+'"
 
 def _uniform(x: str) -> str:
     m = 2147483647
-    x = f"(coalesce({x}, -1) % {m} + {m}) % {m}"
+    x = f"((coalesce({x}, -1) % {m} + {m}) % {m} + CAST('0x' || substr(md5(coalesce(text, '')), 1, 12) AS BIGINT)) % {m}"
     steps, last = [], "x0"
     for i, k in enumerate((48271, 69621, 16807)):
         steps.append(f"u{i} AS (SELECT *, ((({last} * {k} + 11) % {m}) * (({last} * {k} + 11) % {m}) + 12345) % {m} AS x{i + 1} FROM {'d' if not i else f'u{i - 1}'})")
@@ -50,7 +50,7 @@ h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h) GROUP BY doc_id),
 f AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-      length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_lower FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id),
+      length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_lower FROM d LEFT JOIN l ON l.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN r ON r.doc_id IS NOT DISTINCT FROM d.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
       10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR n_upper > n_lower OR word_chars > 15 * n_words AS soft_failed FROM f),
 o AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed OR soft_failed) AS DOUBLE) AS failed FROM b GROUP BY source),
