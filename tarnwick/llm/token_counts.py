@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern that the tokenizer file states.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: Outside Latin letters and common marks, or in a special token's string: not for the fast path.
-_ODD = re.compile("[^\t\n\r -~¡-¬®-įı-ž–—‘-„…€]|<\\|")
+#: Outside the characters on which the pattern and lower-casing were verified to agree (Latin, Greek without capital
+#: sigma, Cyrillic, kana, ideographs, Hangul syllables, common marks, emoji), or in a special token's string.
+_ODD = re.compile("[^\t\n\r -~¡-¬®-įı-žΆΈ-ΊΌΎ-ΡΤ-ΫΆ-ώЀ-џ–—‘-„…€、。ぁ-ゖァ-ヺ一-龥가-힣\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]|<\\|")
 _MOST_CACHED = 300_000
 _worker: dict = {}
 
@@ -42,11 +43,18 @@ def _findall():
 
 
 def frequent_lengths(docs: DataFrame, path: str, sample_docs: int, most: int) -> dict[str, int]:
-    """The frequent tier from the first sample_docs texts (8192 characters each): speed depends on it, results don't."""
-    found, findall = Counter(), _findall()
-    for (text,) in docs.select(F.substring("text", 1, 8192)).where(F.col("text").isNotNull()).take(sample_docs):
-        found.update(findall(text.lower()))
-    words = [w for w, _ in found.most_common(most) if not _ODD.search(w)]
+    """The frequent tier from the whole texts of sample_docs ids, drawn by hash: speed depends on it, results don't."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("drawn")).where("drawn IS NOT NULL").distinct().orderBy(F.xxhash64("drawn"), "drawn").limit(sample_docs)
+    drawn = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("drawn"), "left_semi").select(F.col("text").cast("string"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        findall = _findall()
+        for batch in batches:
+            n = Counter(w for x in batch.column(0) for w in findall((x.as_py() or "").lower()) if not _ODD.search(w))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    words = drawn.mapInArrow(found, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
+    words = [r[0] for r in words.collect()]
     return dict(zip(words, map(len, _tokenizer(path).encode_batch(words, add_special_tokens=False)), strict=True))
 
 
