@@ -5,9 +5,10 @@ projects them to ``rank`` dimensions. Projection and labelled vectors are broadc
 parameters. Every document is projected, its cosines to all labelled vectors are computed exactly in blocks, and the
 ``neighbours`` nearest vote with their similarity as weight.
 
-Bounds on the fit: ``most_labelled`` documents, chosen by hash. Labels, lang, source and doc_id are no inputs.
+Bounds on the fit: ``most_labelled`` documents, first by a hash of their id, rows of repeated ids included. Labels, lang, source and doc_id are no inputs.
 Defined cases: null or empty text has the zero vector and gets the labelled mean; a label of null counts as none;
-without labels the score is 0.5; ties in similarity go to the earlier sample row; repeated rows are scored each.
+without labels the score is 0.5; ties in similarity go to the earlier sample row (by that hash); repeated rows are
+scored each; a doc_id with two labels has the smaller one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        shape = _RUNS.sub(rb"\1", word.translate(_CLASS))[:12]
+        shape = _RUNS.sub(rb"\1", word.translate(_CLASS))
         code = self[word] = zlib.crc32(word.strip(_STRIP).lower()) % WORDS * SHAPES + zlib.crc32(shape) % SHAPES
         return code
 
@@ -83,11 +84,18 @@ def fit(counts: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return idf, projection, unit(x @ projection)
 
 
+def nearest(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k greatest values, in column order; of equal values the earlier columns."""
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    above, equal = s > least, s == least
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True))))[1].reshape(len(s), k)
+
+
 def vote(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, neighbours: int) -> np.ndarray:
     """Similarity-weighted mean label of each row's nearest labelled vectors; rows without a vector get the mean."""
     s = z @ vectors.T
     k = min(neighbours, len(labels))
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(labels) else np.tile(np.arange(k), (len(z), 1))
+    near = nearest(s, k)
     w = np.clip(np.take_along_axis(s, near, 1), 0, 1).astype(float) ** 8
     total = w.sum(1)
     return np.where(total > 1e-12, (w * labels[near]).sum(1) / np.maximum(total, 1e-12), labels.mean())
@@ -112,7 +120,8 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096, rank:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], names=["doc_id", "counts", "quality"])
 
     sample = d.join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "quality")
-    sample = sorted(sample.mapInArrow(gather, "doc_id long, counts binary, quality int").collect(), key=lambda r: (r[0], r[1]))[:most_labelled]
+    # At most that many rows, repeated ids included, in the order of the ids' hash: the sample's order settles ties.
+    sample = sample.mapInArrow(gather, "doc_id long, counts binary, quality int").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "counts").limit(most_labelled).collect()
     model = None
     if sample:
         counts, y = np.zeros((len(sample), DIM), np.float32), np.array([float(r[2]) for r in sample])
