@@ -23,3 +23,16 @@ def sessions(df: DataFrame, by: str, at: str, gap: str, alias: str = "session_no
     w = Window.partitionBy(by).orderBy(at)
     new = (F.col(at) > F.lag(at).over(w) + F.expr(f"INTERVAL {gap}")).cast("long")
     return df.withColumn(alias, F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def sum_excluding_peers(value: str, by: str, order: str, keep_current: bool = False) -> Column:
+    """sum(value) OVER (PARTITION BY by ORDER BY order RANGE UNBOUNDED PRECEDING EXCLUDE GROUP, or EXCLUDE TIES with keep_current).
+
+    The running frame holds all peers of its row, so theirs is subtracted from it; null where no row with a value is left.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    frame, peers = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.currentRow)
+    own = lambda c: F.coalesce(c, F.lit(0)) if keep_current else F.lit(0)
+    left = F.count(value).over(frame) - F.count(value).over(peers) + own(F.col(value).isNotNull().cast("int"))
+    total = F.sum(value).over(frame) - F.coalesce(F.sum(value).over(peers), F.lit(0)) + own(F.col(value))
+    return F.when(left > 0, total)

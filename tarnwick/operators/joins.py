@@ -44,3 +44,9 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 def inner_product(a: Column, b: Column) -> Column:
     """Sum of products of two numeric arrays, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Inner product of two numeric arrays over their lengths; null where one has length 0."""
+    norms = F.sqrt(inner_product(a, a)) * F.sqrt(inner_product(b, b))
+    return F.when(norms > 0, inner_product(a, b) / norms)

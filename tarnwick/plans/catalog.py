@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import ascii_words, ngrams
-from tarnwick.operators.frames import groups_frame_sum, sessions, sum_excluding_current
-from tarnwick.operators.joins import asof_join, inner_product, range_join
+from tarnwick.operators.frames import groups_frame_sum, sessions, sum_excluding_current, sum_excluding_peers
+from tarnwick.operators.joins import asof_join, cosine, inner_product, range_join
 from tarnwick.plans.registry import QUERIES, SQL, plain, query  # noqa: F401
 from tarnwick.sources import table
 
@@ -32,7 +32,7 @@ round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipd
 round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
 plain("filter_project", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
 plain("left_join_counts", "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
-plain("full_outer_join", "SELECT count(*) AS n, count(o_orderkey) AS n_left, count(l_orderkey) AS n_right FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 500) o FULL OUTER JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey > 250 AND l_orderkey < 900) l ON o_orderkey = l_orderkey")
+plain("full_outer_join", "SELECT count(*) AS n, count(o_orderkey) AS n_left, count(l_orderkey) AS n_right FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') o FULL OUTER JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 25) l ON o_orderkey = l_orderkey")
 plain("semi_join_exists", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 plain("anti_join", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 plain("correlated_scalar", "SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) * 1.5 FROM customer d WHERE d.c_nationkey = c.c_nationkey)")
@@ -41,13 +41,13 @@ plain("cube_counts", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM custo
 plain("rollup_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 plain("filtered_aggregates", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 200000) AS n_large, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY o_orderstatus")
 plain("having_top", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) >= 40")
-plain("rank_functions", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr FROM (SELECT * FROM orders WHERE o_custkey < 60) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
-"SELECT o_orderkey, cast(row_number() OVER w AS bigint) AS rn, cast(rank() OVER w AS bigint) AS rk, cast(dense_rank() OVER w AS bigint) AS dr FROM (SELECT * FROM orders WHERE o_custkey < 60) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+plain("rank_functions", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+"SELECT o_orderkey, cast(row_number() OVER w AS bigint) AS rn, cast(rank() OVER w AS bigint) AS rk, cast(dense_rank() OVER w AS bigint) AS dr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 plain("lag_lead", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS before, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events")
 plain("running_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM events")
 plain("top_k_per_group", "SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) t WHERE rn <= 3")
 plain("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
-plain("union_distinct", "SELECT o_custkey AS k FROM orders WHERE o_custkey < 100 UNION SELECT c_custkey FROM customer WHERE c_custkey < 200")
+plain("union_distinct", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
 plain("intersect_all", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48 INTERSECT ALL SELECT l_partkey FROM lineitem WHERE l_discount > 0.08")
 plain("except_all", "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 48 EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_discount > 0.08")
 plain("string_functions", "SELECT c_custkey, upper(c_name) AS up, substring(c_name, 2, 4) AS piece, replace(c_mktsegment, 'A', '_') AS swapped, reverse(c_name) AS back FROM customer")
@@ -91,6 +91,15 @@ def exclude_current_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", sum_excluding_current("event_id", w).alias("around"))
 
 
+_PEERS = "(PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE "
+
+
+@query(f"SELECT o_orderkey, CAST(sum(o_orderkey) OVER {_PEERS} GROUP) AS BIGINT) AS no_peers, CAST(sum(o_orderkey) OVER {_PEERS} TIES) AS BIGINT) AS no_ties FROM orders")
+def exclude_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = [sum_excluding_peers("o_orderkey", "o_custkey", "o_orderpriority", ties).alias(name) for name, ties in (("no_peers", False), ("no_ties", True))]
+    return table(spark, sf_dir, "orders").select("o_orderkey", *sums)
+
+
 @query("""SELECT user_id, session_no, count(*) AS n FROM (SELECT user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session_no
 FROM (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, session_no""")
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +113,16 @@ def inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", F.round(inner_product(F.col("embedding"), probe), 4).alias("product"))
 
 
+@query("""WITH c AS (SELECT label, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre), 6) AS cosine FROM embeddings JOIN c USING (label)""")
+def cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against its own label's mean."""
+    e = table(spark, sf_dir, "embeddings")
+    means = e.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("centre"))
+    return e.join(centres, "label").select("vec_id", F.round(cosine(F.col("embedding"), F.col("centre")), 6).alias("cosine"))
+
+
 @query("""SELECT doc_id, CAST(greatest(len(w) - 1, 0) AS BIGINT) AS n_bigrams, CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS first_bigram
 FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents)""")
 def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +141,7 @@ plain("theta_join", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON
 plain("using_join", "SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
 plain("in_subquery", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 plain("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
-plain("lateral_top", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_custkey < 200) c, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+plain("lateral_top", "SELECT c_custkey, o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 plain("recursive_walk", "WITH RECURSIVE walk(k, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n_nationkey, depth + 1 FROM walk JOIN nation ON n_nationkey = k * 2 + 1) SELECT k, depth FROM walk")
 plain("statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(median(l_quantity), 4) AS med FROM lineitem GROUP BY l_returnflag")
 plain("quantiles", "SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90, round(quantile_cont(l_extendedprice, 0.25), 2) AS p25 FROM lineitem GROUP BY l_linestatus",

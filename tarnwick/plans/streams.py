@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwick import streaming
 from tarnwick.plans.registry import query
-from tarnwick.sources import table
+from tarnwick.sources import scratch, table, write
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,3 +67,53 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streaming.run_to_table(streaming.running_totals(_events(spark, sf_dir), "user_id", "value"), "running-totals")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error'")
+def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.run_batches(_events(spark, sf_dir).where("event_type = 'error'").select("event_id", "user_id"), "foreach-batch", "append").drop("batch")
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    """Of each window and type the row of the last batch."""
+    last = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "v.n", "v.total")
+
+
+_DAYS = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+@query(_DAYS)
+def stream_update_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode gives every window, open ones included, as it changes."""
+    return _last(streaming.run_batches(streaming.windowed(_events(spark, sf_dir), "1 day"), "update", "update"))
+
+
+@query(_DAYS)
+def stream_complete_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _last(streaming.run_batches(streaming.windowed(_events(spark, sf_dir), "1 day"), "complete", "complete"))
+
+
+@query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-11'
+GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last twenty days come first, in two batches; the ten days before are behind the first one's watermark and are dropped."""
+    events, path = table(spark, sf_dir, "events"), scratch(spark, "late")
+    for part in ("ts >= timestamp_ntz '2024-01-11' AND ts < timestamp_ntz '2024-01-29'", "ts >= timestamp_ntz '2024-01-29'", "ts < timestamp_ntz '2024-01-11'"):
+        write(events.where(part).coalesce(1), path, mode="append")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    return streaming.run_to_table(streaming.windowed(stream, "1 day"), "late-data").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def stream_state_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed state in RocksDB; the store is chosen for this query alone."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        out = streaming.run_to_table(streaming.totals_by_processor(_events(spark, sf_dir), "user_id", "value"), "state-processor")
+    finally:
+        spark.conf.set(key, before)
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))

@@ -33,9 +33,11 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only for a local master, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that driver and executors share; it is not set")
         at = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

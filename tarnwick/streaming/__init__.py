@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tarnwick.sources import scratch
 
@@ -37,6 +38,41 @@ def run_to_table(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def run_batches(df: DataFrame, tag: str, mode: str) -> DataFrame:
+    """Runs what is there to its end; foreachBatch appends each batch's rows, with its number, to Parquet in the shared folder.
+
+    A batch that is run again after a failure replaces its own folder, so its rows stand once.
+    """
+    path = scratch(df.sparkSession, tag)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch int").option("basePath", path).parquet(path)
+
+
+def totals_by_processor(events: DataFrame, by: str, value: str) -> DataFrame:
+    """running_totals() by transformWithStateInPandas; needs the RocksDB state store."""
+    kind = events.schema[by].dataType.simpleString()
+
+    class Totals(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.total = handle.getValueState("total", "n long, total double")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            n, total = self.total.get() if self.total.exists() else (0, 0.0)
+            for f in rows:
+                n, total = n + len(f), total + float(f[value].sum())
+            self.total.update((n, total))
+            yield pd.DataFrame({by: [key[0]], "n": [n], "total": [total]})
+
+        def close(self) -> None:
+            pass
+
+    return events.select(by, value).groupBy(by).transformWithStateInPandas(Totals(), f"{by} {kind}, n long, total double", "Append", "none")
+
+
 def running_totals(events: DataFrame, by: str, value: str) -> DataFrame:
     """After each batch a row (by, n, total) of every key in it, by state that Spark keeps per key.
 
