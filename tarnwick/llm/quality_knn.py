@@ -91,9 +91,14 @@ def nearest(s: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True))))[1].reshape(len(s), k)
 
 
-def vote(z: np.ndarray, vectors: np.ndarray, labels: np.ndarray, neighbours: int) -> np.ndarray:
+def distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different vectors, and which of them each row is: equal rows then have one cosine, so ties are ties."""
+    return np.unique(vectors, axis=0, return_inverse=True)
+
+
+def vote(z: np.ndarray, vectors: np.ndarray, which: np.ndarray, labels: np.ndarray, neighbours: int) -> np.ndarray:
     """Similarity-weighted mean label of each row's nearest labelled vectors; rows without a vector get the mean."""
-    s = z @ vectors.T
+    s = (z @ vectors.T)[:, which]
     k = min(neighbours, len(labels))
     near = nearest(s, k)
     w = np.clip(np.take_along_axis(s, near, 1), 0, 1).astype(float) ** 8
@@ -128,7 +133,8 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096, rank:
         for i, r in enumerate(sample):
             n = len(r[1]) // 6
             counts[i, np.frombuffer(r[1], "<u2", n)] = np.frombuffer(r[1], "<f4", n, 2 * n)
-        model = (*fit(counts, rank), y)
+        idf, projection, vectors = fit(counts, rank)
+        model = (idf, projection, *distinct(vectors), y)
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +142,9 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096, rank:
         for b in batches:
             p = np.full(b.num_rows, 0.5)
             for i in range(0, b.num_rows if sent.value else 0, 256):
-                idf, projection, vectors, y = sent.value
+                idf, projection, vectors, which, y = sent.value
                 z = unit(weighted(np.stack([term_counts(x.as_py(), codes) for x in b.column(2)[i : i + 256]]), idf) @ projection)
-                p[i : i + 256] = vote(z, vectors, y, neighbours)
+                p[i : i + 256] = vote(z, vectors, which, y, neighbours)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col("text").cast("binary"))

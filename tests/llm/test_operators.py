@@ -124,12 +124,15 @@ def test_op3(odd, none):
     t = Tokenizer.from_file(BPE)
     want = collections.Counter(tuple([*t.encode(r.text or "", add_special_tokens=False).ids, 0]) for r in odd.collect())
     got = packing.pack(odd, BPE).collect()
-    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
-    pieces = collections.Counter((g.start, g.length, g.ids_crc32, g.doc_tokens) for g in got)
-    for ids, n in want.items():
-        own = [(g.start, g.length) for g in got if g.doc_tokens == len(ids) and crc(ids[g.start : g.start + g.length]) == g.ids_crc32]
-        assert sum(k for _, k in own) >= n * len(ids) and (0, len(ids)) >= (0, 1)
-    assert sum(g.length for g in got) == sum(len(ids) * n for ids, n in want.items()) and pieces
+    # Every document's pieces, told by its tokens alone (ids may be null or repeated), cover each of its ids once.
+    pieces = collections.Counter((g.doc_id, g.start, g.length, g.ids_crc32, g.doc_tokens) for g in got)
+    full = collections.Counter()
+    for r in odd.collect():
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        cut = [1024] * (len(ids) // 1024) + [128] * (len(ids) % 1024 // 128) + [len(ids) % 128] * (len(ids) % 128 > 0)
+        for start, n in zip(np.cumsum([0, *cut]).tolist(), cut):
+            full[r.doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)] += 1
+    assert pieces == full and sum(want.values()) == odd.count()
     at = collections.defaultdict(list)
     for g in got:
         at[g.sequence_id].append((g.offset, g.length))
@@ -312,6 +315,46 @@ def test_op7(spark, sf, odd, none):
     assert {r.predicted for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0}
 
 
+def test_op7_risk_and_slope_equal_finite_differences():
+    r = np.random.default_rng(3)
+    z, positive, unlabelled = r.normal(0, 2, 30), r.random(30) < 0.4, r.random(30) < 0.7
+    for prior in (0.05, 0.3, 0.9):
+        p, n = toxicity.risk(z, positive, unlabelled, prior)
+        by_hand = [math.log1p(math.exp(v)) for v in z]
+        up = sum(by_hand[i] for i in range(30) if positive[i]) / positive.sum()
+        assert p == pytest.approx(prior * sum(math.log1p(math.exp(-z[i])) for i in range(30) if positive[i]) / positive.sum())
+        assert n == pytest.approx(sum(by_hand[i] for i in range(30) if unlabelled[i]) / unlabelled.sum() - prior * up)
+        for sign in (1, -1):  # with the negatives' part above and below 0
+            at = z if sign > 0 else np.where(positive, 9.0, -9.0)
+            value = lambda v: sum(toxicity.risk(v, positive, unlabelled, prior)) if toxicity.risk(at, positive, unlabelled, prior)[1] >= 0 else -toxicity.risk(v, positive, unlabelled, prior)[1]  # noqa: B023, E731
+            found = toxicity.slope(at, positive, unlabelled, prior)
+            for i in range(30):
+                step = np.zeros(30)
+                step[i] = 1e-5
+                assert found[i] == pytest.approx((value(at + step) - value(at - step)) / 2e-5, abs=1e-6)
+
+
+def test_op7_learns_marked_words_and_scores_rows_alike(spark):
+    """Row by row against the model's own weights, with null, long, empty and repeated rows and clashing columns."""
+    r = random.Random(4)
+    texts = [(i, prose(3000 + i, 40) + (f" grawlix {r.choice(['blast', 'rotten'])}" if i % 7 == 0 else "")) for i in range(400)]
+    texts += [(None, "grawlix blast"), (500, None), (501, ""), (502, "grawlix " * 40_000), (503, texts[0][1]), (503, texts[0][1])]
+    docs = spark.createDataFrame([(*t, "x", 0.5, 1, 1, True) for t in texts], "doc_id long, text string, words string, score double, toxic int, predicted int, positive boolean").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0), 1, "x") for i in range(200)] + [(7, 0, 1, "x"), (None, 1, 1, "x"), (600, 1, 1, "x"), (8, None, 1, "x")], "doc_id long, toxic int, quality int, text string")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(texts) and all(g.held_out == (g.doc_id is not None and zlib.crc32(str(g.doc_id).encode()) % 5 == 0) for g in got)
+    sample, prior = toxicity.training_sample(docs, labels, 3000, 6000)
+    weights, bias = toxicity.fit(sample, prior, 10_000)
+    z = lambda t: bias + sum(weights.get(w, 0.0) for w in toxicity.words_of((t or "").encode()))
+    logit = {(g.doc_id, round(math.log(g.score / (1 - g.score)), 6)) for g in got}
+    shifts = {min((round(s - z(t), 4) for d, s in logit if d == i), key=abs) for i, t in texts[:50]}
+    assert len(shifts) == 1  # one threshold for all
+    assert {(i, round(z(t) + next(iter(shifts)), 3)) for i, t in texts} == {(d, round(s, 3)) for d, s in logit}
+    caught = {g.doc_id for g in got if g.predicted}
+    assert {i for i in range(400) if i % 7 == 0} | {None, 502, 503} == caught
+    assert len(toxicity.training_sample(docs, labels, 5, 20)[0]) <= 25
+
+
 def test_op8(odd, none):
     from tokenizers import Tokenizer
 
@@ -329,6 +372,43 @@ def test_op9(spark, sf, odd, none):
     assert all(0 <= r.score <= 1 for r in quality_knn.quality(odd, spark.createDataFrame([(1, 1), (9, 0), (3, None)], "doc_id long, quality int")).collect())
 
 
+def test_op9_votes_equal_exact_neighbours_with_ties():
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        s = r.integers(0, 4, (30, 25)) / 4
+        for k in (1, 7, 25):
+            want = [sorted(sorted(range(25), key=lambda j: (-row[j], j))[:k]) for row in s]
+            assert quality_knn.nearest(s, k).tolist() == want
+    vectors = quality_knn.unit(r.standard_normal((60, 8)).astype(np.float32))
+    vectors[20:40] = vectors[3]
+    y, z = r.integers(0, 2, 60).astype(float), quality_knn.unit(np.vstack([r.standard_normal((40, 8)), vectors[3], np.zeros(8)]).astype(np.float32))
+    got = quality_knn.vote(z, *quality_knn.distinct(vectors), y, 15)
+    for row, score in zip(z, got, strict=True):
+        s = [float(np.float32((row * v).sum())) for v in vectors]
+        near = sorted(range(60), key=lambda j: (-round(s[j], 6), j))[:15]
+        w = [max(0.0, min(1.0, s[j])) ** 8 for j in near]
+        assert score == pytest.approx(sum(a * y[j] for a, j in zip(w, near)) / sum(w) if sum(w) > 1e-12 else y.mean(), abs=1e-4)
+
+
+def test_op9_scores_rows_alike(spark):
+    """Equal texts score alike whatever their row; null, empty, long and repeated rows, repeated ids, clashing columns."""
+    texts = [(i, prose(5000 + i, 60) if i % 3 else "BUY NOW!!! 100% $$$ " * (5 + i % 4)) for i in range(150)]
+    texts += [(None, texts[1][1]), (500, None), (501, ""), (502, "$$$ " * 40_000), (503, texts[3][1]), (503, texts[3][1]), (3, texts[1][1])]
+    docs = spark.createDataFrame([(*t, "x", 0.5, 1, b"") for t in texts], "doc_id long, text string, lang string, score double, quality int, counts binary").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0, "x") for i in range(150)] + [(5, 0, 0, "x"), (None, 0, 0, "x"), (700, 1, 0, "x"), (6, None, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    got = quality_knn.quality(docs, labels).collect()
+    score = collections.defaultdict(set)
+    by_text = collections.defaultdict(set)
+    for g in got:
+        score[g.doc_id].add(round(g.score, 5))
+    for i, t in texts:
+        by_text[t or ""] |= {min(score[i])} if i != 3 else set()
+    assert len(got) == len(texts) and all(len(v) <= 1 for v in by_text.values()) and all(g.predicted == (g.score >= 0.3) for g in got)
+    assert all((max(score[i]) >= 0.3) == (i % 3 > 0) for i, _ in texts[:150] if i != 3)
+    bounded = quality_knn.quality(docs, labels, most_labelled=20)
+    assert bounded.count() == len(texts)
+
+
 def rules(t):
     w = words_of(t)
     lines = [x for x in (t or "").split("\n") if x.encode().split()]
