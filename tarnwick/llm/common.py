@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,23 +15,60 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only for a local master, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that driver and executors share; it is not set")
         at = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again.
+_scopes: list[list[DataFrame]] = []
+
+
+def materialize(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it again; discard() deletes it, or, unless it is lasting,
+    the end of the scope around it.
 
     It cuts the lineage, survives the loss of executors and keeps column pruning for later reads.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return placed(spark.read.schema(df.schema).parquet(path), path, lasting=lasting)
+
+
+def placed(df: DataFrame, path: str, table: str | None = None, lasting: bool = False) -> DataFrame:
+    """Notes where a table of the shared folder lies, and its name in the catalog if it has one."""
+    df._placed = (path, table)
+    if _scopes and not lasting:
+        _scopes[-1].append(df)
+    return df
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize() wrote and that no later plan reads."""
+    for df in tables:
+        if df is None or getattr(df, "_placed", None) is None:
+            continue
+        spark, (path, name) = df.sparkSession, df._placed
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        df._placed = None
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables materialized inside are deleted at its end, when what was made of them has been written."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import even_keys, materialize, partitions
+from .common import discard, even_keys, materialize, partitions
 from .components import components
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -181,7 +181,8 @@ def _prefixes(words: int, bits: int, percent: int, sent, heavy: int, n_buckets:
     return run
 
 
-_FOUND = "kind int, token long, a long, b long, n int, pos int, ell int"
+_FOUND = "kind int, token long, a long, b long, n int, pos int, ell int, spread int"
+_PART = 256
 
 
 def _lists(percent: int, bits: int, sent, heavy: int, short: int):
@@ -209,10 +210,10 @@ def _lists(percent: int, bits: int, sent, heavy: int, short: int):
             least = np.minimum(ell[i], ell[j])
             ok = (100 * low >= percent * high) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) + least - 1 >= need)
             i, j, least = i[ok], j[ok], least[ok]
-            out.append((np.zeros(len(i), np.int32), tok[i].view(np.int64), np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]), np.zeros(len(i), np.int32), np.zeros(len(i), np.int32), least))
+            out.append((np.zeros(len(i), np.int32), tok[i].view(np.int64), np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j]), np.zeros(len(i), np.int32), np.zeros(len(i), np.int32), least, np.ones(len(i), np.int32)))
         at = np.flatnonzero(long)
-        out.append((np.where(n - pos >= _least(percent, n), 1, 2)[at].astype(np.int32), tok[at].view(np.int64), cid[at], cid[at], n[at].astype(np.int32), pos[at].astype(np.int32), ell[at]))
-        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["kind", "token", "a", "b", "n", "pos", "ell"])
+        out.append((np.where(n - pos >= _least(percent, n), 1, 2)[at].astype(np.int32), tok[at].view(np.int64), cid[at], cid[at], n[at].astype(np.int32), pos[at].astype(np.int32), ell[at], np.ceil(np.maximum(est, 1) / _PART)[at].astype(np.int32)))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["kind", "token", "a", "b", "n", "pos", "ell", "spread"])
 
     return run
 
@@ -235,9 +236,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     held = docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))).select("c", "text")
     held = materialize(held, "ngram-texts")
     if held.count() > n_wanted:  # whole rows repeat
-        held = materialize(held.dropDuplicates(["c"]), "ngram-texts")
+        repeated, held = held, materialize(held.dropDuplicates(["c"]), "ngram-texts")
+        discard(repeated)
     one = pairs.hint("merge").join(held.select(F.col("c").alias("cb"), F.col("text").alias("text_b")), F.col("b") == F.col("cb")).select("a", "b", "text_b")
     two = one.hint("merge").join(held.select(F.col("c").alias("ca"), F.col("text").alias("text_a")), F.col("a") == F.col("ca"))
+    made = (pairs, wanted, held)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, at, last = Hashes(), None, None
@@ -253,7 +256,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                     at = None  # another text of the same id and hash
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return two.select("a", "b", "text_b", "text_a").mapInArrow(check, "a long, b long")
+    links = materialize(two.select("a", "b", "text_b", "text_a").mapInArrow(check, "a long, b long"), "ngram-links")
+    discard(*made)
+    return links
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, heavy: int = 4096, bits: int = 22, with_first: bool = False) -> DataFrame:
@@ -275,23 +280,26 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, hea
     dealt = docs.select("text").mapInArrow(_prefixes(words, bits, percent, sent, heavy, p, even_keys(p, p)), "bucket long, tok binary, cid binary, n binary, pos binary, ell binary")
     found = materialize(dealt.groupBy("bucket").applyInArrow(_lists(percent, bits, sent, heavy, short), _FOUND), "ngram-lists")
 
-    long = found.where("kind = 1").select("token", F.col("a").alias("cid"), F.col("n").cast("long"), F.col("pos").cast("long"))
+    long = found.where("kind = 1").select("token", F.col("a").alias("cid"), F.col("n").cast("long"), F.col("pos").cast("long"), "spread")
     in_long = found.where("kind > 0").groupBy(F.col("a").alias("h")).agg(F.count("*").alias("n_long"))
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("ell").alias("ell"))
     enough = lambda x: (F.col(x) == F.col("h")) & (F.col("shared") + F.col("n_long") >= F.col("ell"))
     few = counted.where("shared < ell").join(in_long, enough("a"), "left_semi").join(in_long, enough("b"), "left_semi")
     reach = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")  # the largest partner still allowed
     long = long.withColumn("reach", reach.cast("long"))
-    pivots = long.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("pos", "cid", "n", "reach")).alias("pivot"))
+    # A list's members meet its pivot in as many parts as its estimated length asks for: a hot list is no single task's.
+    pivots = long.groupBy(F.col("token").alias("t")).agg(F.min(F.struct("pos", "cid", "n", "reach")).alias("pivot"), F.max("spread").alias("parts"))
+    pivots = pivots.select("t", "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt_long = long.withColumn("own_part", F.pmod(F.xxhash64("cid"), F.col("spread")).cast("int"))
     fits = lambda n, reach: (F.col("n") <= reach) & (n <= F.col("reach")) & (100 * F.least(F.col("n"), n) >= percent * F.greatest(F.col("n"), n))
-    hub = long.join(pivots, F.col("token") == F.col("t")).where((F.col("cid") != F.col("pivot.cid")) & fits(F.col("pivot.n"), F.col("pivot.reach")))
+    hub = dealt_long.join(pivots, (F.col("token") == F.col("t")) & (F.col("own_part") == F.col("part"))).where((F.col("cid") != F.col("pivot.cid")) & fits(F.col("pivot.n"), F.col("pivot.reach")))
     hub = hub.select(F.col("pivot.cid").alias("a"), F.col("cid").alias("b"))
     pairs = materialize(counted.where("shared >= ell").select("a", "b").unionByName(few.select("a", "b")).unionByName(hub).distinct(), "ngram-pairs")
-    links = materialize(_verified(pairs, docs, classes, words, percent), "ngram-links")
-    labels = materialize(components(links), "ngram-components")
+    links = _verified(pairs, docs, classes, words, percent)
+    labels = components(links)
 
     # What is left of the long lists: partners of another component, met by (token, length of the shorter).
-    member = long.join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
+    member = long.drop("spread").join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid")).drop("node")
     member = materialize(member, "ngram-members")
     shorter = member.where("reach >= n").select(F.col("token").alias("t"), F.col("n").alias("m"), F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("reach").alias("reach_b"))
     kinds = shorter.groupBy("t", "m").agg(F.min("label_b").alias("low"), F.max("label_b").alias("high")).select(F.col("t").alias("kt"), F.col("m").alias("km"), "low", "high")
@@ -299,14 +307,16 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, hea
     lowest = F.ceil(F.col("n") * percent / 100).cast("long")
     met = (F.col("token") == F.col("kt")) & (F.col("km") >= lowest) & (F.col("km") <= top) & ((F.col("low") != F.col("high")) | (F.col("low") != F.col("label")))
     longer = member.join(kinds, met).select("token", F.col("km").alias("want"), "cid", "n", "label")
-    rest = longer.join(shorter, (F.col("token") == F.col("t")) & (F.col("want") == F.col("m"))).where("label <> label_b AND n <= reach_b")
+    rest = longer.hint("merge").join(shorter, (F.col("token") == F.col("t")) & (F.col("want") == F.col("m"))).where("label <> label_b AND n <= reach_b")
     rest = rest.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
     rest = materialize(rest.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "ngram-rest")
     if rest.take(1):
-        more = materialize(_verified(rest, docs, classes, words, percent), "ngram-links")
+        more = _verified(rest, docs, classes, words, percent)
         if more.take(1):
-            labels = materialize(components(links.unionByName(more)), "ngram-components")
+            labels = components(links.unionByName(more))
+        discard(more)
+    discard(found, pairs, member, rest, links)
 
     known = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "at", F.coalesce("label", "cid").alias("label"))
     least = known.groupBy("label").agg(F.min("at").alias("first")).select(F.col("label").alias("l"), "first")

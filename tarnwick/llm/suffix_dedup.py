@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import even_keys, materialize, partitions, shared_dir
+from .common import discard, even_keys, materialize, partitions, placed, shared_dir
 
 WIDTH, K = 200, 32
 BLOCK_BYTES, CHUNK = 12_000_000, 1_000_000
@@ -440,8 +440,9 @@ def _bucketed(df: DataFrame, key: str, n: int, tag: str) -> DataFrame:
     """Write df bucketed by key in the shared folder, so that later joins on key don't move it."""
     spark: SparkSession = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
-    df.write.option("compression", "uncompressed").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").bucketBy(n, key).saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.write.option("compression", "uncompressed").option("path", path).bucketBy(n, key).saveAsTable(name)
+    return placed(spark.table(name), path, name)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -460,4 +461,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataF
     texts = own.groupBy("block").cogroup(asked.groupBy("to_block")).applyInArrow(_fetch(width), "bucket long, piece binary, lens binary, text binary")
     holders = decided.where("kind = 0").select("at", "a", "b", "c", "d")
     found = materialize(holders.groupBy("at").cogroup(texts.groupBy("bucket")).applyInArrow(_sort(width), "to long, local binary, first binary, last binary"), "suffix-runs")
+    discard(decided)
     return blocks.select("block", "ids", "nulls", "ends", "text", "starts", "windows", "which").groupBy("block").cogroup(found.groupBy("to")).applyInArrow(_apply(width, with_text), _OUT + ", kept_text string, text_sha256 string" * with_text)
