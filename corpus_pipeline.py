@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
-from tarnwick.llm.common import documents, materialize
+from tarnwick.llm.common import discard, documents, materialize, scope
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -79,7 +79,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; a stage's own tables and its input go once its rows are written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scope():
+            rows = stage(spark, docs, sf_dir)
+            kept, docs = docs, materialize(rows, "pipeline-" + name.replace(" ", "-"), lasting=True)
+        discard(kept)
     return docs
