@@ -1,28 +1,36 @@
 """Language-model scoring by subword lattice likelihood (operator 6).
 
-The pieces of an existing subword vocabulary weight every segmentation of a word; a log-space forward recursion over
-byte positions sums them. The vocabulary's own scores (ranks) start the piece weights and ``rounds`` of expectation
-maximisation over the stems of all training documents fit them. A word is a stem and a tail, its closing run of ASCII
-punctuation (a word of nothing else is a stem). Seen words and seen stems have edges of their own:
-
+The pieces of an existing subword vocabulary, weighted by its own scores, give every segmentation of a word a weight; a
+log-space forward recursion over byte positions sums them. The file's scores are ranks, taken by Zipf's law as weights
+1 / (rank + 10). In addition ``rounds`` of expectation maximisation over the stems of all training documents adapt the
+weights, with the given ones as their prior (``strength`` uses); with rounds=0 they are the file's alone. A word is a
+stem and a tail, its closing run of ASCII punctuation (a word of nothing else is a stem). Seen words and seen stems
+have edges of their own, at two levels, the corpus and the document's class z:
+
+    P_z(w)  = max(c_z(w) - discount, 0) / N_z + discount * V_z / N_z * P(w)
     P(w)    = max(c(w) - discount, 0) / N + discount * V / N * P(stem) * P(tail)
     P(stem) = mean of k in (tokens, word types) of max(k(stem) - discount, 0) / sum k + discount * S / sum k * P_lattice(stem)
 
-with c, N, V and the S stems counted over all training documents and P(tail) a byte bigram chain over word types, so P
-sums to one over all words at most. Within a document a used word has one more edge, a copy of its earlier uses,
-discounted alike: with h earlier uses among i tokens of t types,
+with c, N, V and the S stems counted over all training documents (c_z, N_z, V_z: those of class z; without any, P_z is
+P) and P(tail) a byte bigram chain over word types, so P sums to one over all words at most. A document's class is the
+nearest of ``classes`` means of byte-pair shares, by k-means over all training documents (few rounds, started from the
+farthest of some drawn by hash); it is a function of the text, so the class's share times P_z never exceeds the sum
+over all classes. Within a document a used word has one more edge, a copy of its earlier uses, discounted alike: with h
+earlier uses among i tokens of t types,
 
-    P(w | history) = (max(h - copy_discount, 0) + (prior + copy_discount * t) * P(w)) / (i + prior)
+    P(w | history) = (max(h - copy_discount, 0) + (prior + copy_discount * t) * P_z(w)) / (i + prior)
 
-A document's score is the sum of log10 of that over its words and the end token: its marginal over all paths. The base
-score is add-0.5 smoothing over the same counts.
+A document's score is the sum of log10 of that over its words and the end token, and of its class's share: its marginal
+over all paths. The base score is add-0.5 smoothing over the same counts. The discounts, prior and strength were chosen
+on fold 2 with the held-out fold put away.
 
-Layout: a task turns its documents into blocks; each block deals its distinct words (with their counts and the
+Layout: a task turns its documents into blocks; each block deals its distinct words (with their counts by class and the
 documents that hold them) over buckets by a hash of the stem, so a frequent word is one entry a block, no bucket is hot
-and a stem's words meet. Buckets count words exactly, are written to the shared folder and are scored there; partial sums go back by block.
+and a stem's words meet. Buckets count words exactly, are written to the shared folder in rows of bounded size and are
+scored there; partial sums go back by block.
 
 Defined cases: null or empty text is the end token alone; a null doc_id is training; repeated rows count each; words
-longer than any piece go through single bytes; an empty table gives an empty result.
+longer than any piece go through single bytes; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -229,8 +237,63 @@ def _cut(batches: Iterator[pa.RecordBatch], most: int = 12_000_000) -> Iterator[
             yield batch.slice(start)
 
 
-def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float):
-    """Documents -> rows (bucket, block, kind, words, a, b, c, d, e); kind 1 holds a block's documents."""
+PAIRS = 1024
+
+
+def byte_pairs(text: bytes | None) -> np.ndarray:
+    """Square roots of the shares of hashed pairs of neighbouring bytes; no text, or one byte: zeros."""
+    b = np.frombuffer((text or b"").lower(), np.uint8).astype(np.int32)
+    n = np.bincount((b[:-1] * 31 + b[1:] * 7) & (PAIRS - 1), minlength=PAIRS) if len(b) > 1 else np.zeros(PAIRS)
+    return np.sqrt(n / max(1, n.sum())).astype(np.float32)
+
+
+def nearest_class(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ means.T - (means * means).sum(1) / 2, axis=1)
+
+
+def document_classes(d: DataFrame, classes: int, rounds: int = 3, drawn: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the classes and their shares of the training documents; every round reads all of them."""
+    training = d.where("NOT held_out").select("doc_id", "text")
+    ids = F.broadcast(training.select(F.col("doc_id").alias("chosen")).where("chosen IS NOT NULL").distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(drawn))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([byte_pairs(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["doc_id", "pairs"])
+
+    start = training.join(ids, F.col("doc_id") == F.col("chosen"), "left_semi").mapInArrow(pairs, "doc_id long, pairs binary").orderBy("doc_id", "pairs").limit(drawn).collect()
+    x = np.array([np.frombuffer(r[1], np.float32) for r in start] or [np.zeros(PAIRS, np.float32)])
+    means = x[:1]
+    while len(means) < classes:
+        means = np.vstack([means, x[np.argmax(((x[:, None, :] - means) ** 2).sum(2).min(1))]])
+    shares = np.ones(classes)
+    for _ in range(rounds):
+        sent = d.sparkSession.sparkContext.broadcast(means)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros((classes, PAIRS)), np.zeros(classes, np.int64)
+            for batch in batches:
+                for x in batch.column(0):
+                    v = byte_pairs(x.as_py())
+                    z = nearest_class(v[None], sent.value)[0]  # noqa: B023
+                    total[z] += v
+                    n[z] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(classes), PAIRS)), pa.array(np.tile(np.arange(PAIRS), classes)), pa.array(total.ravel()), pa.array(np.repeat(n, PAIRS))], names=["z", "at", "sum", "n"])
+
+        total, n = np.zeros((classes, PAIRS)), np.zeros(classes)
+        for z, at, s, k in training.select("text").mapInArrow(sums, "z long, at long, sum double, n long").groupBy("z", "at").agg(F.sum("sum"), F.sum("n")).collect():
+            total[z, at], n[z] = s, k
+        means = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], means).astype(np.float32)
+        shares = n + 0.5
+    return means, shares / shares.sum()
+
+
+def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float, means: np.ndarray, shares: np.ndarray):
+    """Documents -> rows (bucket, block, kind, words, a, b, c, d, e, f); kind 1 holds a block's documents.
+
+    a: training counts of the bucket's pairs of a word and a class, f: the pairs (word * classes + class); b, c, d, e:
+    the uses' pair, document, times, and types before each later use.
+    """
+    classes, log_shares = len(means), np.log10(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -238,74 +301,110 @@ def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float)
         block = TaskContext.get().partitionId() << 32
         for batch in _cut(batches):
             held = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            index, uses, n_tokens, fixed = _Ids(), [], [], []
+            index, uses, n_tokens, fixed, z = _Ids(), [], [], [], []
             index[b""]  # the end token
             for x in batch.column(2):
                 words = (x.as_py() or b"").lower().split()
                 words.append(b"")
                 uses.append(history(np.fromiter(map(index.__getitem__, words), np.int32, len(words)), copy_discount, prior))
                 n_tokens.append(len(words))
-                fixed.append(uses[-1][3])
+                z.append(int(nearest_class(byte_pairs(x.as_py())[None], means)[0]))
+                fixed.append(uses[-1][3] + log_shares[z[-1]])
             which = np.concatenate([u[0] for u in uses])
             times = np.concatenate([u[1] for u in uses])
             later = np.concatenate([u[2] for u in uses])
             later_ends = np.append(0, np.cumsum(times - 1, dtype=np.int64))
             doc = np.repeat(np.arange(len(uses), dtype=np.int32), [len(u[0]) for u in uses])
             uses.clear()
-            trained = np.bincount(which, times * ~held[doc], minlength=len(index)).astype(np.int64)
+            pairs, which = np.unique(which.astype(np.int64) * classes + np.array(z)[doc], return_inverse=True)
+            trained = np.bincount(which, times * ~held[doc], minlength=len(pairs)).astype(np.int64)
             words = list(index)
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(stem_of(w)) % n_buckets for w in words), np.int64, len(words))
             by = np.argsort(bucket, kind="stable")
             place = np.empty(len(by), np.int64)
             ends = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
             place[by] = np.arange(len(by)) - ends[bucket[by]]
-            use_bucket = bucket.astype(np.int32)[which]
+            pair_bucket = bucket[pairs // classes]
+            pair_by = np.argsort(pair_bucket, kind="stable")
+            pair_place = np.empty(len(pairs), np.int64)
+            pair_ends = np.searchsorted(pair_bucket[pair_by], np.arange(n_buckets + 1))
+            pair_place[pair_by] = np.arange(len(pairs)) - pair_ends[pair_bucket[pair_by]]
+            code = place[pairs // classes] * classes + pairs % classes
+            use_bucket = pair_bucket.astype(np.int32)[which]
             use_order = np.argsort(use_bucket, kind="stable").astype(np.int32)
             use_ends = np.append(0, np.cumsum(np.bincount(use_bucket, minlength=n_buckets)))
             out = []
             for k in range(n_buckets):
-                own, u = by[ends[k] : ends[k + 1]], use_order[use_ends[k] : use_ends[k + 1]]
+                own, p, u = by[ends[k] : ends[k + 1]], pair_by[pair_ends[k] : pair_ends[k + 1]], use_order[use_ends[k] : use_ends[k + 1]]
                 if len(own):
                     at = later[np.repeat(later_ends[u] - np.append(0, np.cumsum(times[u] - 1))[:-1], times[u] - 1) + np.arange((times[u] - 1).sum())]
-                    out.append((keys[k], block, 0, zstandard.compress(b"\n".join(words[i] for i in own), 1), *_press(trained[own], place[which[u]].astype(np.int32), doc[u], times[u], at)))
+                    out.append((keys[k], block, 0, zstandard.compress(b"\n".join(words[i] for i in own), 1), *_press(trained[p], pair_place[which[u]].astype(np.int32), doc[u], times[u], at, code[p].astype(np.int32))))
             ids = np.array([-1 if v is None else v for v in batch.column(0).to_pylist()], np.int64)
             null = np.array([v is None for v in batch.column(0).to_pylist()], np.int8)
-            out.append((keys[block % n_buckets], block, 1, b"", *_press(ids, held.astype(np.int8), np.array(n_tokens, np.int64), null, np.array(fixed))))
+            out.append((keys[block % n_buckets], block, 1, b"", *_press(ids, held.astype(np.int8), np.array(n_tokens, np.int64), null, np.array(fixed)), b""))
             block += 1
             for i in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[i : i + 256], strict=True), (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "block", "kind", "words", *"abcde"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[i : i + 256], strict=True), (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 7), strict=True)], names=["bucket", "block", "kind", "words", *"abcdef"])
 
     return run
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """One bucket: its distinct words with their training counts, and each block's uses of them."""
-    index, counts, out = _Ids(), [], {c: [] for c in ("blocks", "kinds", *"abcde")}
-    for row in table.to_pylist():
-        out["blocks"].append(row["block"])
-        out["kinds"].append(row["kind"])
-        if row["kind"]:
-            for c in "abcde":
-                out[c].append(row[c])
-            continue
-        words = zstandard.decompress(row["words"]).split(b"\n")
-        ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        counts.append((ids, _open(row["a"], "<i8")))
-        out["a"].append(b"")
-        out["b"].append(_press(ids[_open(row["b"], "<i4")].astype(np.int32))[0])
-        out["c"].append(row["c"])
-        out["d"].append(row["d"])
-        out["e"].append(row["e"])
-    c = np.zeros(len(index), np.int64)
-    for ids, n in counts:
-        c[ids] += n
-    words = zstandard.compress(b"\n".join(index), 1)
-    stems = Stems(list(index), c)
-    return pa.table(
-        [pa.array([words], pa.binary()), pa.array(_press(c), pa.binary()), pa.array([int(c.sum())]), pa.array([int((c > 0).sum())]), pa.array([int((stems.types > 0).sum())]), pa.array([stems.steps().tolist()], pa.list_(pa.int64()))]
-        + [pa.array([out["blocks"]], pa.list_(pa.int64())), pa.array([out["kinds"]], pa.list_(pa.int32())), *(pa.array([out[k]], pa.list_(pa.binary())) for k in "abcde")],
-        names=["words", "counts", "n", "v", "s", "steps", "blocks", "kinds", *"abcde"],
-    )
+def _count(classes: int, most: int = 16_000_000):
+    """One bucket -> rows of at most ``most`` packed bytes (or one block) of uses, each with the bucket's distinct words,
+    pairs and training counts; the first alone bears the sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        index, codes, counts, rows = _Ids(), [], [], table.num_rows
+        column = {c: table[c] for c in ("block", "kind", "words", *"abcdef")}
+        cell = lambda c, i: column[c][i].as_py()
+        for i in range(rows):
+            if cell("kind", i):
+                codes.append(None)
+                continue
+            words = zstandard.decompress(cell("words", i)).split(b"\n")
+            ids, own = np.fromiter(map(index.__getitem__, words), np.int64, len(words)), _open(cell("f", i), "<i4")
+            codes.append(ids[own // classes] * classes + own % classes)
+            counts.append(_open(cell("a", i), "<i8"))
+        flat = np.concatenate([np.zeros(0, np.int64), *(x for x in codes if x is not None)])
+        pairs, at = np.unique(flat, return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.zeros(0), *counts]), minlength=len(pairs)).astype(np.int64)
+        c = np.bincount(pairs // classes, n, minlength=len(index)).astype(np.int64)
+        by_class = np.bincount(pairs % classes, n, minlength=classes).astype(np.int64), np.bincount(pairs % classes, n > 0, minlength=classes).astype(np.int64)
+        stems = Stems(list(index), c)
+        head = [zstandard.compress(b"\n".join(index), 1), *_press(c, pairs, n)]
+        sums = [int(c.sum()), int((c > 0).sum()), int((stems.types > 0).sum()), stems.steps().tolist(), by_class[0].tolist(), by_class[1].tolist()]
+        none = [0, 0, 0, [], [], []]
+        out: list[list] = []
+        held: list[list] = [[] for _ in range(7)]
+        size = 0
+
+        def flush() -> None:
+            out.append([*head, not out, *(sums if not out else none), *(list(x) for x in held)])
+            for x in held:
+                x.clear()
+
+        for i in range(rows):
+            kind = cell("kind", i)
+            if kind:
+                row = [cell(k, i) for k in "abcde"]
+            else:
+                places = np.searchsorted(pairs, codes[i])
+                row = [b"", _press(places[_open(cell("b", i), "<i4")].astype(np.int32))[0], *(cell(k, i) for k in "cde")]
+            more = sum(map(len, row))
+            if size and size + more > most:
+                flush()
+                size = 0
+            size += more
+            for x, v in zip(held, (cell("block", i), kind, *row), strict=True):
+                x.append(v)
+        flush()
+        kinds = [*[pa.binary()] * 4, pa.bool_(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3, pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.list_(pa.binary())] * 5]
+        return pa.table([pa.array(list(v), k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _COUNTED.split(", ")])
+
+    return run
+
+
+_COUNTED = "words binary, counts binary, pairs binary, pair_counts binary, first boolean, n long, v long, s long, steps array<long>, class_n array<long>, class_v array<long>, blocks array<long>, kinds array<int>, " + ", ".join(f"{c} array<binary>" for c in "abcde")
 
 
 def _words(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -313,21 +412,25 @@ def _words(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
     return (zstandard.decompress(words).split(b"\n") if len(c) else []), c
 
 
-def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, discount: float = 0.7, copy_discount: float = 0.9, prior: float = 20.0) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, strength: float = 100.0, discount: float = 0.7, copy_discount: float = 0.95, prior: float = 100.0, classes: int = 8, held_fold: int = 1) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     n_buckets = partitions(spark)
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), F.col("text").cast("binary"))
-    dealt = d.mapInArrow(_blocks(n_buckets, even_keys(n_buckets, n_buckets), copy_discount, prior), "bucket long, block long, kind int, words binary, " + ", ".join(f"{c} binary" for c in "abcde"))
-    counted = dealt.groupBy("bucket").applyInArrow(_count, "words binary, counts binary, n long, v long, s long, steps array<long>, blocks array<long>, kinds array<int>, " + ", ".join(f"{c} array<binary>" for c in "abcde"))
-    counted = materialize(counted, "lattice-counts")
-    total, types, n_stems = (int(x or 0) for x in counted.agg(F.sum("n"), F.sum("v"), F.sum("s")).first())
-    steps = np.zeros((STATES, STATES))
-    for at, n in counted.select(F.posexplode("steps")).groupBy("pos").agg(F.sum("col")).collect():
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == held_fold, F.lit(False)).alias("held_out"), F.col("text").cast("binary"))
+    means, shares = document_classes(d, classes)
+    dealt = d.mapInArrow(_blocks(n_buckets, even_keys(n_buckets, n_buckets), copy_discount, prior, means, shares), "bucket long, block long, kind int, words binary, " + ", ".join(f"{c} binary" for c in "abcdef"))
+    counted = materialize(dealt.groupBy("bucket").applyInArrow(_count(classes), _COUNTED), "lattice-counts")
+    once = counted.where("first")
+    total, types, n_stems = (int(x or 0) for x in once.agg(F.sum("n"), F.sum("v"), F.sum("s")).first())
+    steps, class_n, class_v = np.zeros((STATES, STATES)), np.zeros(classes), np.zeros(classes)
+    for at, n in once.select(F.posexplode("steps")).groupBy("pos").agg(F.sum("col")).collect():
         steps[at // STATES, at % STATES] = n
+    for at, n, v in once.select(F.posexplode(F.arrays_zip("class_n", "class_v"))).groupBy("pos").agg(F.sum("col.class_n"), F.sum("col.class_v")).collect():
+        class_n[at], class_v[at] = n, v
     chain = np.log((steps + 0.1) / (steps + 0.1).sum(1, keepdims=True)).reshape(-1)
 
     pieces, logp = vocabulary(path)
+    given = strength * np.exp(logp)
     for _ in range(rounds if types else 0):
         sent = spark.sparkContext.broadcast((pieces, logp))
 
@@ -342,9 +445,9 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, discount: float
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["piece", "uses"])
 
         uses = np.zeros(len(pieces))
-        for r in counted.select("words", "counts").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses")).collect():
+        for r in once.select("words", "counts").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses")).collect():
             uses[r[0]] = r[1]
-        logp = np.log((uses + 1e-3) / (uses + 1e-3).sum())
+        logp = np.log((uses + given) / (uses + given).sum())
     sent = spark.sparkContext.broadcast((pieces, logp))
     sums_of = (max(1, total), max(1, types))
 
@@ -359,8 +462,12 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, discount: float
                     left = np.log(sum(discount * max(1, n_stems) / n / 2 for n in sums_of))
                     unseen = np.logaddexp(np.log(known_stems), left + lattice.forward(found.stems))[found.of] + found.tail_logs(chain)
                     seen = np.log(np.maximum(c - discount, 0) / max(1, total))
-                lp = np.logaddexp(seen, np.log(discount * max(1, types) / max(1, total)) + unseen) / np.log(10)
-                base, known, p = np.log10(c + 0.5), (c > 0).astype(float), 10.0**lp
+                    log_p = np.logaddexp(seen, np.log(discount * max(1, types) / max(1, total)) + unseen)
+                    pairs, n = _open(row["pairs"], "<i8"), _open(row["pair_counts"], "<i8")
+                    word, own = pairs // classes, pairs % classes
+                    in_class = np.logaddexp(np.log(np.maximum(n - discount, 0)), np.log(discount * class_v[own]) + log_p[word]) - np.log(np.maximum(class_n[own], 1))
+                lp = np.where(class_n[own] > 0, in_class, log_p[word]) / np.log(10)
+                base, known, p = np.log10(c + 0.5)[word], (c > 0)[word].astype(float), 10.0**lp
                 out = []
                 for block, kind, x, y, z, t, e in zip(row["blocks"], row["kinds"], *(row[k] for k in "abcde"), strict=True):
                     if kind:
