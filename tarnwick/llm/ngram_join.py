@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, even_keys, materialize, partitions
 from .components import components
+from .sketches import SLICES, press, summed
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
-SLICES = 16
 
 
 class Hashes(dict):
@@ -87,41 +87,12 @@ def _first_pass(words: int, bits: int):
                     np.add.at(sketch, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), batch.column(2), pa.ListArray.from_arrays(np.arange(0, 16 * len(n) + 1, 16, dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *marks])), pa.nulls(len(n), pa.binary())], schema=schema)
         if sketch.any():
-            parts = [zstandard.compress(s.tobytes(), 1) for s in np.split(sketch, SLICES)]
+            parts = press(sketch)
             yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
 
-def _sum_slices(n: list[int], payload: list[bytes]) -> dict[int, np.ndarray]:
-    sums: dict[int, np.ndarray] = {}
-    for k, x in zip(n, payload, strict=True):
-        s = np.frombuffer(zstandard.decompress(x), np.uint32)
-        sums[k] = np.minimum(sums[k].astype(np.uint64) + s, 2**32 - 1).astype(np.uint32) if k in sums else s
-    return sums
-
-
-def _sketch(first: DataFrame, bits: int) -> np.ndarray:
-    """The summed sketch, of a size fixed by bits: tasks add up what they read, then slices are added up."""
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, s in _sum_slices(b.column(0).to_pylist(), b.column(1).to_pylist()).items():
-                kept = kept | {k: np.minimum(kept[k].astype(np.uint64) + s, 2**32 - 1).astype(np.uint32) if k in kept else s}
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([zstandard.compress(s.tobytes(), 1) for s in kept.values()], pa.binary())], names=["n", "payload"])
-
-    def finish(table: pa.Table) -> pa.Table:
-        sums = _sum_slices(table["n"].to_pylist(), table["payload"].to_pylist())
-        return pa.table([pa.array(list(sums), pa.int64()), pa.array([zstandard.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], names=["n", "payload"])
-
-    rows = first.where("kind = 1").select("n", "payload").mapInArrow(combine, "n long, payload binary").groupBy("n").applyInArrow(finish, "n long, payload binary").collect()
-    out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
-    for k, x in rows:
-        out[k] = np.frombuffer(zstandard.decompress(x), np.uint32)
-    return out.reshape(-1)
-
-
 def quantised(sketch: np.ndarray) -> np.ndarray:
     """Eighths of log2 of the counts above the median cell's chance load, in a byte each."""
     over = np.maximum(sketch.astype(np.int64) - int(np.median(sketch)), 0)
@@ -276,7 +247,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, hea
     sets = first.where("kind = 0 AND n > 0").groupBy("cid").agg(F.min(place).alias("at"), F.max("n").alias("size"), F.first("marks").alias("marks"))
     classes = materialize(sets, "ngram-reps")
 
-    sent, p = spark.sparkContext.broadcast(quantised(_sketch(first, bits))), partitions(spark)
+    sent, p = spark.sparkContext.broadcast(quantised(summed(first.where("kind = 1").select("n", "payload"), bits))), partitions(spark)
     dealt = docs.select("text").mapInArrow(_prefixes(words, bits, percent, sent, heavy, p, even_keys(p, p)), "bucket long, tok binary, cid binary, n binary, pos binary, ell binary")
     found = materialize(dealt.groupBy("bucket").applyInArrow(_lists(percent, bits, sent, heavy, short), _FOUND), "ngram-lists")
 

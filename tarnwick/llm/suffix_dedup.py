@@ -5,8 +5,9 @@ A run of windows with one anchor is a piece; equal windows lie in pieces of equa
 pieces are one entry with a weight. A bucket keeps anchors that occur more than once, fetches the bytes of their
 distinct pieces and builds a suffix array over them in two stages: only suffixes smaller than their successors are
 sorted directly, the rest is induced by scanning the character buckets in order. Adjacent common prefixes of at least
-``width`` bytes mark repeated windows. Pieces of very frequent anchors (found in a bounded sample; a matter of balance
-alone) are dealt window by window instead, so that they spread.
+``width`` bytes mark repeated windows. Anchors of more than ``most`` pieces, by a count sketch over all documents, are
+dealt window by window instead, so that they spread: no bucket's suffix array grows with one passage's share. (A
+sketch's cell that several anchors share may send a rare one that way too; the result is the same.)
 
 Documents are kept as blocks of about 12 MB in a bucketed table of the shared folder; verdicts go to the blocks, so the
 text is moved once. Defined cases: null text is empty; texts shorter than ``width`` keep all; repeated rows are separate
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, even_keys, materialize, partitions, placed, shared_dir
+from .sketches import SLICES, press, summed
 
 WIDTH, K = 200, 32
 BLOCK_BYTES, CHUNK = 12_000_000, 1_000_000
@@ -223,23 +225,23 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _BLOCK = "block long, ids binary, nulls binary, ends binary, text binary, starts binary, windows binary, which binary, anchors binary, hashes binary, weights binary"
 
 
-def _block_row(block: int, ids: list, texts: list[bytes], width: int, heavy: np.ndarray) -> tuple:
-    blob = b"".join(texts)
-    ends = np.cumsum([len(x) for x in texts]).astype(np.int64)
-    starts, windows, anchors, again = [], [], [], []
+def _chunked_pieces(blob: bytes, ends: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """pieces() of the documents of a block, about a CHUNK of bytes at a time."""
     i = base = 0
-    while i < len(texts):
+    while i < len(ends):
         j = int(max(i + 1, np.searchsorted(ends, base + CHUNK, "right")))
         s, w, a, g = pieces(np.frombuffer(blob, np.uint8, int(ends[j - 1]) - base, base), ends[i:j] - base, width)
-        starts.append(s + base)
-        windows.append(w)
-        anchors.append(a)
-        again.append(g)
+        yield s + base, w, a, g
         i, base = j, int(ends[j - 1])
-    starts, windows, anchors, again = map(np.concatenate, (starts, windows, anchors, again))
+
+
+def _block_row(block: int, ids: list, texts: list[bytes], width: int, heavy: np.ndarray) -> tuple:
+    blob = b"".join(texts)
+    ends = np.cumsum([len(x) for x in texts]).astype(np.int64)
+    starts, windows, anchors, again = map(np.concatenate, zip(*_chunked_pieces(blob, ends, width), strict=True))
     view = memoryview(blob)
     digest = xxhash.xxh3_64_intdigest
-    hot = np.isin(anchors, heavy) if len(heavy) else np.zeros(len(anchors), bool)
+    hot = heavy[(anchors & np.uint64(len(heavy) - 1)).astype(np.int64)]
     if hot.any():
         w = windows[hot]
         single = np.repeat(starts[hot], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
@@ -419,21 +421,24 @@ def _apply(width: int, with_text: bool):
     return run
 
 
-def heavy_anchors(docs: DataFrame, width: int, sample_docs: int = 4096, share: float = 0.01) -> np.ndarray:
-    """Anchors in at least that share of a hashed sample of documents: at most (anchors a document) / share."""
-    n = docs.count()
-    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, sample_docs / max(1, n))))
+def heavy_anchors(docs: DataFrame, width: int, most: int, bits: int = 20) -> np.ndarray:
+    """Which cells of the anchors' low bits hold over most pieces more than the median cell, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for x in batch.column(1):
-                t = np.frombuffer(x.as_py() or b"", np.uint8)
-                a = np.unique(pieces(t, np.array([len(t)]), width)[2])
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], names=["anchor"])
+            texts = [x.as_py() or b"" for x in batch.column(0)]
+            for at in range(0, len(texts), 256):
+                part = texts[at : at + 256]
+                for _, _, a, _ in _chunked_pieces(b"".join(part), np.cumsum([len(x) for x in part]).astype(np.int64), width):
+                    np.add.at(sketch, (a & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+        if sketch.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array(press(sketch), pa.binary())], names=["n", "payload"])
 
-    least = max(32, int(share * min(n, sample_docs)))
-    found = part.mapInArrow(run, "anchor long").groupBy("anchor").count().where(F.col("count") >= least).select("anchor").collect()
-    return np.array([r[0] for r in found], np.int64).view(np.uint64)
+    counted = materialize(docs.select("text").mapInArrow(run, "n long, payload binary"), "suffix-sketch")
+    counts = summed(counted, bits).astype(np.int64)
+    discard(counted)
+    return counts - int(np.median(counts)) > most
 
 
 def _bucketed(df: DataFrame, key: str, n: int, tag: str) -> DataFrame:
@@ -445,14 +450,14 @@ def _bucketed(df: DataFrame, key: str, n: int, tag: str) -> DataFrame:
     return placed(spark.table(name), path, name)
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False, most: int = 8192) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, cut at whole characters; text_sha256 names the whole text)."""
     spark = docs.sparkSession
     if width < 2 * K or width % 8:
         raise ValueError(f"width is a multiple of 8 and at least {2 * K}")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     p = partitions(spark)
-    heavy = spark.sparkContext.broadcast(heavy_anchors(docs, width))
+    heavy = spark.sparkContext.broadcast(heavy_anchors(docs, width, most))
     blocks = _bucketed(docs.mapInArrow(_blocks(width, heavy), _BLOCK), "block", p, "suffix_blocks")
     dealt = blocks.select("block", "anchors", "hashes", "weights").mapInArrow(_deal(4 * p, even_keys(4 * p, p)), "bucket long, block long, anchors binary, hashes binary, weights binary, local binary")
     decided = materialize(dealt.groupBy("bucket").applyInArrow(_decide, _DECIDED), "suffix-pieces")
