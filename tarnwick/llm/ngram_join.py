@@ -7,7 +7,8 @@ partners share at least the smaller l of them. Each class lengthens its prefix (
 Posting lists of up to ``short`` classes give their pairs with a count of shared prefix shingles; pairs below the
 smaller l go unless both classes' whole prefixes stand in enough long lists to make it up. Long lists never give all pairs: first each class meets the
 list's pivot (the member with fewest rarer shingles); then, components known, only pairs of different components that
-length and position still allow meet, by equality of (shingle, length). Every pair is verified on whole sets.
+length and position still allow meet, by equality of (shingle, length), and pass on only if their bitmaps allow a link.
+Every pair is verified on whole sets.
 
 Shingles are 64-bit hashes of the words' hashes; classes are 64-bit hashes of whole sets and their size.
 Defined cases: null, empty or blank text has 0 shingles and is linked with nothing; fewer words than a shingle count as
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, even_keys, materialize, partitions
@@ -189,6 +190,12 @@ def _lists(percent: int, bits: int, sent, heavy: int, short: int):
     return run
 
 
+def may_link(a: str, b: str, sizes: Column, percent: int) -> Column:
+    """Whether two bitmaps differ in no more bits than sets of that summed size may differ in members."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return (100 + percent) * differ <= (100 - percent) * sizes
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, most_sent: int = 2_000_000) -> DataFrame:
     """Those of pairs(a, b) whose whole sets reach the similarity.
 
@@ -198,8 +205,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     """
     side = lambda x: classes.select(F.col("cid").alias(f"c{x}"), F.col("size").alias(f"n{x}"), F.col("marks").alias(f"m{x}"))
     near = pairs.hint("merge").join(side("a"), F.col("a") == F.col("ca")).hint("merge").join(side("b"), F.col("b") == F.col("cb"))
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = materialize(near.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "ngram-near")
+    pairs = materialize(near.where(may_link("ma", "mb", F.col("na") + F.col("nb"), percent)).select("a", "b"), "ngram-near")
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     wanted = materialize(wanted.join(classes, F.col("c") == F.col("cid")).select("c", F.col("at.doc_id").alias("wanted_id"), F.col("at.text_hash").alias("wanted_hash")), "ngram-wanted")
     n_wanted = wanted.count()
@@ -277,8 +283,16 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, hea
     top = F.least(F.col("n"), F.col("reach"))
     lowest = F.ceil(F.col("n") * percent / 100).cast("long")
     met = (F.col("token") == F.col("kt")) & (F.col("km") >= lowest) & (F.col("km") <= top) & ((F.col("low") != F.col("high")) | (F.col("low") != F.col("label")))
-    longer = member.join(kinds, met).select("token", F.col("km").alias("want"), "cid", "n", "label")
-    rest = longer.hint("merge").join(shorter, (F.col("token") == F.col("t")) & (F.col("want") == F.col("m"))).where("label <> label_b AND n <= reach_b")
+    longer = materialize(member.join(kinds, met).select("token", F.col("km").alias("want"), "cid", "n", "label"), "ngram-longer")
+    # Both sides bring their bitmaps, so a pair leaves the join only if those allow a link: comparing members of one list
+    # and length is the work of a merge join, whose large keys can be split, but no such pairs are stored or shuffled.
+    marks = classes.select(F.col("cid").alias("marked"), "marks")
+    wanted = longer.select(F.col("token").alias("wt"), F.col("want").alias("wm")).distinct()
+    asked = shorter.join(wanted, (F.col("t") == F.col("wt")) & (F.col("m") == F.col("wm")), "left_semi")
+    asked = asked.hint("merge").join(marks.withColumnRenamed("marks", "marks_b"), F.col("b") == F.col("marked")).drop("marked")
+    asking = longer.hint("merge").join(marks.withColumnRenamed("marks", "marks_a"), F.col("cid") == F.col("marked")).drop("marked")
+    rest = asking.hint("merge").join(asked, (F.col("token") == F.col("t")) & (F.col("want") == F.col("m")))
+    rest = rest.where((F.col("label") != F.col("label_b")) & (F.col("n") <= F.col("reach_b")) & may_link("marks_a", "marks_b", F.col("n") + F.col("m"), percent))
     rest = rest.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
     rest = materialize(rest.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "ngram-rest")
@@ -287,7 +301,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, short: int = 8, hea
         if more.take(1):
             labels = components(links.unionByName(more))
         discard(more)
-    discard(found, pairs, member, rest, links)
+    discard(found, pairs, member, longer, rest, links)
 
     known = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "at", F.coalesce("label", "cid").alias("label"))
     least = known.groupBy("label").agg(F.min("at").alias("first")).select(F.col("label").alias("l"), "first")

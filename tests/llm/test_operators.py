@@ -218,6 +218,26 @@ def test_op5_long_lists_beyond_the_first_prefix(spark, k, percent):
     assert sorted(tuple(x) for x in ngram_join.join(docs, k, percent).collect()) == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op5_lists_on_both_sides_of_short_and_heavy(spark, seed):
+    """Random families of near copies over shared passages: lists below and above short and heavy, unequal sizes, every prefix length."""
+    r = random.Random(seed)
+    passages = [[f"g{p}x{i}" for i in range(r.randint(4, 12))] for p in range(12)]
+    rows = []
+    for family in range(14):
+        body = [w for p in r.sample(passages, 5) for w in p] + [f"f{family}x{i}" for i in range(r.randint(2, 30))]
+        for _ in range(r.choice([1, 3, 8, 20])):
+            w = list(body)
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(w))
+                w[at : at + r.randint(0, 1)] = r.choice([[f"e{r.randrange(40)}"], [], r.choice(passages)[:3]])
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(x) for x in ngram_join.join(docs, 3, 80, short=3, heavy=16).collect())
+    want = components(rows, 3, 80)
+    assert got == want and 14 < len({x[2] for x in want}) < len(rows)
+
+
 def test_op5_null_and_repeated_ids(spark):
     base = [prose(600 + i, 60) for i in range(6)]
     rows = [(None if i % 2 else 3, t + tail) for i, t in enumerate(base) for tail in ("", " tail", "")] + [(9, "a b"), (None, "")]
