@@ -64,7 +64,7 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON e.user_
 def asof_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return asof_join(clicks, e.where("event_type = 'purchase'"), "user_id", "ts", "event_id", "last_purchase")
+    return asof_join(clicks, e.where("event_type = 'purchase'"), "user_id", "ts", "event_id", "last_purchase", lambda at: F.date_trunc("month", at))
 
 
 @query("""SELECT event_id, event_id % 2 AS half, ts, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY event_id % 2 ORDER BY ts) AS last_error FROM events""")

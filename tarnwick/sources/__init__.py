@@ -32,6 +32,20 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, parts: int = 8, quote: str = '"', **options: str) -> DataFrame:
+    """A database's table; with a numeric or date column the read is split between its least and greatest value. quote: the database's mark around names."""
+    r = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if column:
+        low, high = spark.read.format("jdbc").options(url=url, query=f"SELECT min({quote}{column}{quote}) AS lo, max({quote}{column}{quote}) AS hi FROM {table}", **options).load().first()
+        if low is not None:
+            r = r.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+    return r.load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "error", **options: str) -> None:
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, **options).save()
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only for a local master, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)

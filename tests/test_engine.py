@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwick import sources, streaming
 from tarnwick.functions import ascii_words, ngrams
-from tarnwick.operators.frames import sum_excluding_current
+from tarnwick.operators.frames import sum_excluding_current, sum_excluding_peers
 from tarnwick.operators.joins import asof_join, range_join
 
 
@@ -87,3 +87,42 @@ def test_asof_hot_key_has_no_join_of_rows_by_key_alone(spark, sf):
     got = asof_join(e.select("event_id", "half", "ts"), e.where("event_type = 'error'"), "half", "ts", "event_id", "last", lambda at: F.date_trunc("day", at))
     plain = asof_join(e.select("event_id", "half", "ts"), e.where("event_type = 'error'"), "half", "ts", "event_id", "last")
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_jdbc_round_trip_in_parts(spark, sf):
+    """Against the database that Spark ships with; in memory, so on one machine alone."""
+    url, df = "jdbc:derby:memory:tarnwick;create=true", sources.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    sources.write_jdbc(df.coalesce(2), url, "orders_copy")
+    back = sources.read_jdbc(spark, url, "orders_copy", "o_orderkey", 4)
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    sources.write_jdbc(df.limit(0), url, "empty_copy")
+    assert sources.read_jdbc(spark, url, "empty_copy", "o_orderkey").count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    class Elsewhere:
+        conf, sparkContext = type("Conf", (), {"get": staticmethod(lambda key, default: None)}), type("Context", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sources.scratch(Elsewhere, "x")
+
+
+def test_excluded_peers_with_nulls(spark):
+    rows = [("a", 1, 5), ("a", 1, None), ("a", 2, 7), ("a", 2, 1), ("a", 3, None), ("b", 1, 2)]
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    got = df.select("k", "o", "v", sum_excluding_peers("v", "k", "o").alias("no_group"), sum_excluding_peers("v", "k", "o", True).alias("no_ties")).collect()
+    want = []
+    for k, o, v in rows:
+        rest = [x for kk, oo, x in rows if kk == k and oo < o and x is not None]
+        own = rest + ([v] if v is not None else [])
+        want.append((k, o, v, sum(rest) if rest else None, sum(own) if own else None))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_batches_replayed_stand_once(spark, sf):
+    stream = streaming.events_stream(spark, f"{sf}/event*.parquet", sources.table(spark, sf, "events").schema, "1 hour").select("event_id")
+    out = streaming.run_batches(stream, "replayed", "append")
+    assert out.count() == sources.table(spark, sf, "events").count() == out.select("event_id").distinct().count()
