@@ -61,3 +61,53 @@ scaled AS (SELECT *, mean / host_rate AS scale, host_rate >= 0.5 AND host_rate >
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR host_bad OR 10 * n_symbols > n_words * scale OR 10 * n_dup_lines > 3 * n_lines * scale OR n_upper > n_lower * scale OR word_chars > 15 * (n_words * scale)) AS kept
 FROM b JOIN scaled ON b.source IS NOT DISTINCT FROM scaled.source"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+_LEAF = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+#: CRC-32 (reflected polynomial 0xEDB88320) of the id's decimal text, a bit at a time.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_LEAF} || {_field("text")}) AS leaf,
+       CASE WHEN {_CRC} % 2 = 0 THEN sha256({_LEAF} || {_field("replace(text, chr(10), '')")}) ELSE sha256({_LEAF} || {_field("text")}) END AS checked FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+t(source, level, i, h) AS (SELECT source, 0, i, leaf FROM o UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM t) WHERE n > 1 GROUP BY source, level, i // 3),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM (SELECT * FROM t QUALIFY level = max(level) OVER (PARTITION BY source))),
+u(level, i, h) AS (SELECT 0, i, h FROM s UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY level, i // 3),
+depth AS (SELECT source, max(level) AS top FROM t GROUP BY source),
+steps AS (SELECT o.doc_id, o.leaf, o.checked, s.h AS subroot, depth.top + (SELECT max(level) FROM u) AS steps, o.source, o.i, depth.top, s.i AS root_place FROM o JOIN depth ON o.source IS NOT DISTINCT FROM depth.source JOIN s ON o.source IS NOT DISTINCT FROM s.source),
+nodes AS (SELECT source, false AS over, level, i, h FROM t UNION ALL SELECT NULL, true, level, i, h FROM u),
+walk(doc_id, leaf, source, step, place, top, root_place, steps, proof, h) AS (SELECT doc_id, leaf, source, 0, i, top, root_place, steps, '', checked FROM steps UNION ALL
+  SELECT w.doc_id, w.leaf, w.source, w.step + 1, w.p // 3, w.top, w.root_place, w.steps, w.proof || coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (WHERE n.i <> w.p), ''), sha256(string_agg(CASE WHEN n.i = w.p THEN w.h ELSE n.h END, '' ORDER BY n.i))
+  FROM (SELECT *, CASE WHEN step = top THEN root_place ELSE place END AS p FROM walk WHERE step < steps) w
+  JOIN nodes n ON n.over = (w.step >= w.top) AND n.level = w.step - CASE WHEN w.step >= w.top THEN w.top ELSE 0 END AND n.i // 3 = w.p // 3 AND (n.over OR n.source IS NOT DISTINCT FROM w.source)
+  GROUP BY w.doc_id, w.leaf, w.source, w.step, w.p, w.top, w.root_place, w.steps, w.proof, w.h)
+SELECT w.doc_id, w.leaf, s.h AS subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
+FROM walk w JOIN s ON s.source IS NOT DISTINCT FROM w.source, (SELECT h FROM u ORDER BY level DESC LIMIT 1) r WHERE w.step = w.steps"""
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+      array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"""
+
+#: Header and footer lengths of the template, and its control strings with any backslashes behind their first character.
+_AROUND = "CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 18 WHEN 'assistant' THEN 10 ELSE 23 + length(role) + len(regexp_extract_all(role, {0})) END"
+_CONTROL = r"'<\\*(/?s>)|\[\\*(/?INST\]|/?SYS\]|OUT\]|/?ROLE\]|TEXT\])'"
+
+CHAT_FORMAT = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({_AROUND.format(_CONTROL)} + length(text) + len(regexp_extract_all(text, {_CONTROL}))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import additive_ann, lattice_lm, mixing, ngram_join, packing, quality_knn, quality_rules, suffix_dedup, token_counts, toxicity
+from . import additive_ann, chat_format, fill_in_middle, lattice_lm, merkle, mixing, ngram_join, packing, quality_knn, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import documents
-from .oracles import NGRAM_JOIN, QUALITY_RULES, SOURCE_MIXING
+from .oracles import CHAT_FORMAT, FILL_IN_MIDDLE, MERKLE, NGRAM_JOIN, QUALITY_RULES, SOURCE_MIXING
 
 
 def _tokenizer_file(name: str) -> str:
@@ -63,9 +64,31 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    check = {"text": F.when(half, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    m = merkle.manifest(documents(spark, sf_dir), check=check)
+    return m.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    chars = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return d.select("doc_id", "n", "form", chars("prefix"), chars("middle"), sha(F.col("output")).alias("output_sha256"), sha(restored).alias("restored_sha256"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, whose two turns hold control strings."""
+    own = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.read_back(chat_format.chat_format(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_array_dedup, op2_additive_neighbours, op3_karmarkar_karp_packing, op4_source_mixing, op5_ngram_jaccard_join, op6_lattice_likelihood, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules)
+    for f in (op1_suffix_array_dedup, op2_additive_neighbours, op3_karmarkar_karp_packing, op4_source_mixing, op5_ngram_jaccard_join, op6_lattice_likelihood, op7_pu_toxicity, op8_token_counts, op9_quality_neighbours, op10_host_quality_rules, op11_merkle_manifest, op12_fill_in_middle, op13_chat_format)
 }
 
-SQL: dict[str, str] = {"op4_source_mixing": SOURCE_MIXING, "op5_ngram_jaccard_join": NGRAM_JOIN, "op10_host_quality_rules": QUALITY_RULES}
+SQL: dict[str, str] = {"op4_source_mixing": SOURCE_MIXING, "op5_ngram_jaccard_join": NGRAM_JOIN, "op10_host_quality_rules": QUALITY_RULES, "op11_merkle_manifest": MERKLE, "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_chat_format": CHAT_FORMAT}

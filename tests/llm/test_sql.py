@@ -11,7 +11,8 @@ from tarnwick.llm import oracles, quality_rules, queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query(spark, sf, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = db.execute(queries.SQL[name])
     columns = [c[0] for c in want.description]
     cell = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
