@@ -44,8 +44,9 @@ def _findall():
 
 def frequent_lengths(docs: DataFrame, path: str, sample_docs: int, most: int) -> dict[str, int]:
     """The frequent tier from the whole texts of sample_docs ids, drawn by hash: speed depends on it, results don't."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("drawn")).where("drawn IS NOT NULL").distinct().orderBy(F.xxhash64("drawn"), "drawn").limit(sample_docs)
-    drawn = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("drawn"), "left_semi").select(F.col("text").cast("string"))
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ids = own.select(F.col("doc_id").alias("drawn")).where("drawn IS NOT NULL").distinct().orderBy(F.xxhash64("drawn"), "drawn").limit(sample_docs)
+    drawn = own.join(F.broadcast(ids), F.col("doc_id") == F.col("drawn"), "left_semi").select("text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         findall = _findall()
