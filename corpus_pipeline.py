@@ -45,7 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     cut = suffix_dedup.dedup(docs, with_text=True).select(F.col("doc_id").alias("cut_id"), F.col("n_removed"), "kept_text", "text_sha256")
     whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rest = docs.withColumn("whole", whole).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("whole") == F.col("text_sha256")))
+    rest = docs.select(*_columns(docs)).withColumn("whole", whole).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("whole") == F.col("text_sha256")))
     rest = rest.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.length("text").cast("long"))
