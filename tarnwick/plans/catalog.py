@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import ascii_words, ngrams
-from tarnwick.operators.frames import groups_frame_sum, sessions, sum_excluding_current, sum_excluding_peers
+from tarnwick.operators.frames import groups_frame as peer_groups, sessions, sum_excluding_current, sum_excluding_peers
 from tarnwick.operators.joins import asof_join, cosine, inner_product, range_join
 from tarnwick.plans.registry import QUERIES, SQL, plain, query  # noqa: F401
 from tarnwick.sources import table
@@ -64,7 +64,7 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON e.user_
 def asof_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return asof_join(clicks, e.where("event_type = 'purchase'"), "user_id", "ts", "event_id", "last_purchase", lambda at: F.date_trunc("month", at))
+    return asof_join(clicks, e.where("event_type = 'purchase'"), "user_id", "ts", "event_id", "last_purchase", lambda at: F.date_trunc("day", at))
 
 
 @query("""SELECT event_id, event_id % 2 AS half, ts, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY event_id % 2 ORDER BY ts) AS last_error FROM events""")
@@ -82,7 +82,7 @@ def range_join_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS total FROM orders""")
 def groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups_frame_sum(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_custkey", 1, 1, "total").select("o_orderkey", "total")
+    return peer_groups(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate", {"total": ("sum", "o_custkey")}, 1, 1).select("o_orderkey", "total")
 
 
 @query("""SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS around FROM events""")
@@ -185,4 +185,4 @@ def unpivot_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unpivot("p_partkey", ["p_size", "p_retailprice"], "name", "value")
 
 
-from tarnwick.plans import scalars, streams, surfaces  # noqa: E402, F401  (they register their queries)
+from tarnwick.plans import advanced, scalars, streams, surfaces  # noqa: E402, F401  (they register their queries)

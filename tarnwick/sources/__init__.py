@@ -55,3 +55,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: it is computed once and outlives the executors that made it."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
