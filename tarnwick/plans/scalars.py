@@ -102,3 +102,25 @@ plain("nested_arrays", "SELECT o_orderkey, [o_custkey, o_custkey + 1, o_orderkey
 plain("bank_rounding", "SELECT l_orderkey, l_partkey, l_linenumber, round_even(l_quantity / 2, 0) AS even FROM lineitem", "SELECT l_orderkey, l_partkey, l_linenumber, bround(l_quantity / 2, 0) AS even FROM lineitem")
 plain("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation", "SELECT /*+ SHUFFLE_REPLICATE_NL(r) */ r_name, n_name FROM region r CROSS JOIN nation")
 plain("whole_sample", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(*) AS n FROM lineitem TABLESAMPLE (100 PERCENT) REPEATABLE (1) GROUP BY l_returnflag")
+
+# Set differences that leave rows, samples below the whole, bytes that are no UTF-8
+plain("except_all_rest", "SELECT l_suppkey AS k FROM lineitem WHERE l_discount > 0.02 EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_discount > 0.05")
+plain("except_distinct_rest", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+plain("sampled_share", "SELECT l_returnflag, count(*) AS n, true AS within, 0 AS foreign_rows FROM lineitem GROUP BY l_returnflag",
+"""WITH s AS (SELECT * FROM lineitem TABLESAMPLE (20 PERCENT) REPEATABLE (7)), c AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag), d AS (SELECT l_returnflag, count(*) AS drawn FROM s GROUP BY l_returnflag)
+SELECT c.l_returnflag, n, abs(coalesce(drawn, 0) - 0.2 * n) <= 5 * sqrt(0.16 * n) AS within, CAST((SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM lineitem)) AS INT) AS foreign_rows FROM c LEFT JOIN d ON c.l_returnflag = d.l_returnflag""")
+plain("utf8_repairs", "SELECT c_custkey, c_custkey % 3 <> 0 AS ok, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(65533) ELSE c_name || 'é' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_name || 'é' END AS valid_or_null FROM customer",
+"SELECT c_custkey, is_valid_utf8(s) AS ok, make_valid_utf8(s) AS name, try_validate_utf8(s) AS valid_or_null FROM (SELECT c_custkey, CAST(substring(encode(c_name || 'é', 'UTF-8'), 1, octet_length(c_name) + IF(c_custkey % 3 = 0, 1, 2)) AS STRING) AS s FROM customer)")
+
+# Approximate aggregates above their sketches' sizes: beside the exact figure, whether the estimate is within the stated error
+plain("approximate_distinct_error", "SELECT count(DISTINCT l_orderkey) AS n, true AS hll, true AS sketch, true AS theta FROM lineitem",
+"""SELECT n, abs(a - n) <= 3 * 0.01 * n AS hll, abs(b - n) <= 3 * 0.02 * n AS sketch, abs(t - n) <= 3 * 0.02 * n AS theta FROM (SELECT count(DISTINCT l_orderkey) AS n, approx_count_distinct(l_orderkey, 0.01) AS a, hll_sketch_estimate(hll_sketch_agg(l_orderkey)) AS b, theta_sketch_estimate(theta_sketch_agg(l_orderkey)) AS t FROM lineitem)""")
+plain("approximate_quantile_error", "SELECT count(*) AS n, true AS p10, true AS p50, true AS p99 FROM lineitem",
+"""WITH q AS (SELECT percentile_approx(l_extendedprice, array(0.1, 0.5, 0.99), 200) AS q FROM lineitem)
+SELECT count(*) AS n, abs(sum(IF(l_extendedprice <= q[0], 1, 0)) - 0.1 * count(*)) <= count(*) / 200 AS p10, abs(sum(IF(l_extendedprice <= q[1], 1, 0)) - 0.5 * count(*)) <= count(*) / 200 AS p50, abs(sum(IF(l_extendedprice <= q[2], 1, 0)) - 0.99 * count(*)) <= count(*) / 200 AS p99 FROM lineitem, q""")
+plain("kll_quantile_error", "SELECT count(*) AS n, true AS p25, true AS p50, true AS p90 FROM orders",
+"""WITH k AS (SELECT kll_sketch_agg_double(o_totalprice) AS s FROM orders), q AS (SELECT kll_sketch_get_quantile_double(s, 0.25D) AS a, kll_sketch_get_quantile_double(s, 0.5D) AS b, kll_sketch_get_quantile_double(s, 0.9D) AS c FROM k)
+SELECT count(*) AS n, abs(sum(IF(o_totalprice <= a, 1, 0)) - 0.25 * count(*)) <= 0.0266 * count(*) AS p25, abs(sum(IF(o_totalprice <= b, 1, 0)) - 0.5 * count(*)) <= 0.0266 * count(*) AS p50, abs(sum(IF(o_totalprice <= c, 1, 0)) - 0.9 * count(*)) <= 0.0266 * count(*) AS p90 FROM orders, q""")
+plain("approximate_top_error", "SELECT word, n, true AS within FROM (SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word) WHERE n > total * 0.02",
+"""WITH w AS (SELECT explode(split(text, ' ', -1)) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), a AS (SELECT inline(approx_top_k(word, 100, 1000)) FROM w)
+SELECT word, n, coalesce(abs(count - n) <= total / 250, false) AS within FROM (SELECT word, n, sum(n) OVER () AS total FROM c) LEFT JOIN a ON item = word WHERE n > total * 0.02""")

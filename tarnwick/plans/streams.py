@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnwick import streaming
 from tarnwick.plans.registry import query
 from tarnwick.sources import scratch, table, write
+from tarnwick.sources.ledger import Ledger
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,20 +101,63 @@ def stream_late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last twenty days come first, in two batches; the ten days before are behind the first one's watermark and are dropped."""
     events, path = table(spark, sf_dir, "events"), scratch(spark, "late")
     for part in ("ts >= timestamp_ntz '2024-01-11' AND ts < timestamp_ntz '2024-01-29'", "ts >= timestamp_ntz '2024-01-29'", "ts < timestamp_ntz '2024-01-11'"):
-        write(events.where(part).coalesce(1), path, mode="append")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    return streaming.run_to_table(streaming.windowed(stream, "1 day"), "late-data").withColumn("start", F.col("start").cast("timestamp_ntz"))
+        write(events.where(part), f"{path}/in", mode="append")
+        days = streaming.windowed(streaming.events_stream(spark, f"{path}/in", events.schema, "1 hour"), "1 day")
+        # Each part is a run of its own with the checkpoint of the one before, however many files it has.
+        days.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema(days.schema).parquet(f"{path}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_state_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed state in RocksDB; the store is chosen for this query alone."""
-    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key)
-    spark.conf.set(key, store)
-    try:
+    with streaming.rocksdb(spark):
         out = streaming.run_to_table(streaming.totals_by_processor(_events(spark, sf_dir), "user_id", "value"), "state-processor")
-    finally:
-        spark.conf.set(key, before)
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+
+
+_CLICKS = "(SELECT event_id AS click, user_id, ts FROM events WHERE event_type = 'click') c"
+_BOUGHT = "(SELECT event_id AS purchase, user_id, ts FROM events WHERE event_type = 'purchase') p"
+#: The watermark of a join: an hour behind the last row of the side whose last row is earlier.
+_BOTH = "(SELECT least(max(ts) FILTER (WHERE event_type = 'click'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL 1 HOUR FROM events)"
+_WITHIN = "c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 HOUR"
+_MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+def _outer(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    clicks = _events(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("u"), F.col("ts").alias("at"))
+    bought = _events(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", "ts")
+    near = (F.col("u") == F.col("user_id")) & (F.col("ts") >= F.col("at")) & (F.col("ts") <= F.col("at") + F.expr("INTERVAL 1 HOUR"))
+    return streaming.run_to_table(clicks.join(bought, near, how).select("click", "purchase"), f"{how}-join")
+
+
+@query(f"SELECT click, purchase FROM {_CLICKS} LEFT JOIN {_BOUGHT} ON {_WITHIN} WHERE purchase IS NOT NULL OR c.ts + INTERVAL 1 HOUR <= {_BOTH}")
+def stream_left_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A click without a purchase is out once the watermark is an hour past it."""
+    return _outer(spark, sf_dir, "left_outer")
+
+
+@query(f"SELECT click, purchase FROM {_CLICKS} FULL JOIN {_BOUGHT} ON {_WITHIN} WHERE (purchase IS NOT NULL OR c.ts + INTERVAL 1 HOUR <= {_BOTH}) AND (click IS NOT NULL OR p.ts <= {_BOTH})")
+def stream_full_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A purchase without a click before it is out once the watermark has passed it."""
+    return _outer(spark, sf_dir, "full_outer")
+
+
+@query(f"SELECT user_id, ts AS last_seen FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events) WHERE (following IS NULL OR following > ts + INTERVAL 2 HOUR) AND ts + INTERVAL 2 HOUR <= {_MARK}")
+def stream_inactivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time timers: users of whom nothing is seen for two hours."""
+    with streaming.rocksdb(spark):
+        out = streaming.run_to_table(streaming.inactivity(_events(spark, sf_dir), "user_id", "ts", 2 * 3600 * 1000), "inactivity")
+    return out.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'view'")
+def stream_python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From one Python data source to another: three commits are read as a stream and written as one."""
+    spark.dataSource.register(Ledger)
+    path, e = scratch(spark, "ledger"), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    for kind in ("event_type = 'click'", "event_type = 'view'", "event_type NOT IN ('click', 'view')"):
+        e.where(kind).write.format("ledger").mode("append").save(f"{path}/in")
+    stream = spark.readStream.format("ledger").load(f"{path}/in").where("event_type <> 'view'")
+    stream.writeStream.format("ledger").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.format("ledger").load(f"{path}/out")

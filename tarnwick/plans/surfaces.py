@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.plans.registry import query
-from tarnwick.sources import read, scratch, table, write
+from tarnwick.sources import read, read_jdbc, scratch, table, write, write_jdbc
 from tarnwick.sources.calendar import Calendar
+from tarnwick.sources.ledger import Ledger
 
 
 def _round_trip(kind: str, **options: str):
@@ -150,3 +151,21 @@ def udf_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION net_price(price DOUBLE, discount DOUBLE) RETURNS DOUBLE RETURN round(price * (1 - discount), 4)")
     return spark.sql("SELECT l_orderkey, l_partkey, l_linenumber, net_price(l_extendedprice, l_discount) AS net FROM {l}", l=table(spark, sf_dir, "lineitem"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey >= 9000 AND o_orderstatus = 'F'")
+def python_data_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read by a Python data source; both comparisons are pushed down to its reader."""
+    spark.dataSource.register(Ledger)
+    path, key = scratch(spark, "ledger"), "spark.sql.python.filterPushdown.enabled"
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.format("ledger").mode("append").save(path)
+    spark.conf.set(key, "true")
+    return spark.read.format("ledger").option("filters", "true").load(path).where("o_orderkey >= 9000 AND o_orderstatus = 'F'")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def jdbc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the database in Spark's jars, in the driver's memory: for a local master alone."""
+    url, name = "jdbc:derby:memory:tarnwick;create=true", "customer_" + scratch(spark, "x")[-32:]
+    write_jdbc(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal").coalesce(2), url, name)
+    return read_jdbc(spark, url, name, "c_custkey", 4)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,13 +53,17 @@ def run_batches(df: DataFrame, tag: str, mode: str) -> DataFrame:
     return df.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch int").option("basePath", path).parquet(path)
 
 
-def totals_by_processor(events: DataFrame, by: str, value: str) -> DataFrame:
-    """running_totals() by transformWithStateInPandas; needs the RocksDB state store."""
+def totals_by_processor(events: DataFrame, by: str, value: str, ttl_ms: int | None = None) -> DataFrame:
+    """running_totals() by transformWithStateInPandas; needs the RocksDB state store.
+
+    ttl_ms: a key's state is forgotten when no batch has touched it for so long (by the clock), and its totals start anew.
+    A run of what is there then ends only where spark.sql.streaming.noDataMicroBatches.enabled is false.
+    """
     kind = events.schema[by].dataType.simpleString()
 
     class Totals(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.total = handle.getValueState("total", "n long, total double")
+            self.total = handle.getValueState("total", "n long, total double", ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
             n, total = self.total.get() if self.total.exists() else (0, 0.0)
@@ -70,7 +75,7 @@ def totals_by_processor(events: DataFrame, by: str, value: str) -> DataFrame:
         def close(self) -> None:
             pass
 
-    return events.select(by, value).groupBy(by).transformWithStateInPandas(Totals(), f"{by} {kind}, n long, total double", "Append", "none")
+    return events.select(by, value).groupBy(by).transformWithStateInPandas(Totals(), f"{by} {kind}, n long, total double", "Append", "ProcessingTime" if ttl_ms else "none")
 
 
 def running_totals(events: DataFrame, by: str, value: str) -> DataFrame:
@@ -88,3 +93,67 @@ def running_totals(events: DataFrame, by: str, value: str) -> DataFrame:
 
     kind = events.schema[by].dataType.simpleString()
     return events.select(by, value).groupBy(by).applyInPandasWithState(add, f"{by} {kind}, n long, total double", "n long, total double", "append", "NoTimeout")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which transformWithState needs."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def inactivity(events: DataFrame, by: str, at: str, gap_ms: int, seen: DataFrame | None = None) -> DataFrame:
+    """A row (by, last_seen) for each time of a key that no row follows within the gap, once the watermark is past its end.
+
+    An event-time timer stands at the end of each time's gap; when it fires, the state tells whether a row came meanwhile.
+    Rows may come out of order within the watermark's delay: the state keeps the times that late rows may still need and
+    those whose timers are to come, and drops the others. seen(by, last_seen): initial state, such as an earlier run's
+    last times. Rows of null time are ignored.
+    """
+    kind = events.schema[by].dataType.simpleString()
+    gap = gap_ms * 1000
+    micros = lambda s: s.dropna().astype("datetime64[us, UTC]" if s.dt.tz is not None else "datetime64[us]").astype("int64")
+
+    class Idle(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.times = handle, handle.getValueState("times", "times array<long>")
+
+        def _held(self) -> list[int]:
+            return list(self.times.get()[0]) if self.times.exists() else []
+
+        def _add(self, new: set[int], watermark: int) -> None:
+            held = self._held()
+            times = sorted({*held, *new})
+            last = {t for t, after in zip(times, [*times[1:], None], strict=True) if after is None or after > t + gap}
+            for t in last & new:
+                self.handle.registerTimer(-(-(t + gap) // 1000))
+            self.times.update(([t for t in times if t in last or t >= watermark * 1000],))
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            new = {int(t) for f in rows for t in micros(f[at])}
+            if new:
+                self._add(new, timerValues.getCurrentWatermarkInMs())
+            yield pd.DataFrame()
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+            self._add({int(t) for t in micros(initialState["last_seen"])}, 0)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            due = expiredTimerInfo.getExpiryTimeInMs()
+            held = self._held()
+            over = [t for i, t in enumerate(held) if -(-(t + gap) // 1000) == due and (i + 1 == len(held) or held[i + 1] > t + gap)]
+            watermark = timerValues.getCurrentWatermarkInMs() * 1000
+            kept = [t for i, t in enumerate(held) if t not in over and (t >= watermark or i + 1 == len(held) or held[i + 1] > t + gap)]
+            self.times.update((kept,)) if kept else self.times.clear()
+            yield pd.DataFrame({by: [key[0]] * len(over), "last_seen": pd.to_datetime(over, unit="us", utc=True)}) if over else pd.DataFrame()
+
+        def close(self) -> None:
+            pass
+
+    state = {"initialState": seen.select(by, F.col("last_seen").cast("timestamp")).groupBy(by)} if seen is not None else {}
+    return events.select(by, at).groupBy(by).transformWithStateInPandas(Idle(), f"{by} {kind}, last_seen timestamp", "Append", "EventTime", **state)
