@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 BINS, LOW = 4096, 0.25
+#: Digits and symbols, and marks that end a sentence.
+ODD, MARKS = r"[0-9#*$%&|<>{}=@_/]", r"[.!?]"
 _M = 2147483647
 
 
@@ -36,14 +38,21 @@ def uniform(doc_id: Column, text: Column) -> Column:
 
 
 def quality(text: Column, size: Column) -> Column:
-    """Weight 1 for prose-like mean word lengths, else LOW."""
-    mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.when(mean.between(3.5, 12.0), 1.0).otherwise(LOW)
+    """A weight from LOW to 1, the higher the more a text reads like prose: by its characters a word (about 6 with the
+    space), its share of digits and symbols, and its sentence marks a word (about 1 in 12)."""
+    share = lambda count, of: count.cast("double") / F.greatest(of, F.lit(1)).cast("double")
+    chars = F.length(text)
+    near = lambda x, usual, slope: F.lit(1.0) / (F.lit(1.0) + F.abs(x - F.lit(usual)) * F.lit(slope))
+    length = near(share(chars, size), 6.0, 0.125)
+    odd = near(share(F.regexp_count(text, F.lit(ODD)), chars), 0.0, 16.0)
+    marks = near(share(F.regexp_count(text, F.lit(MARKS)), size), 0.08, 4.0)
+    return F.lit(LOW) + F.lit(1.0 - LOW) * (length * odd * marks)
 
 
 def key_bin(key: Column, size: Column) -> Column:
-    """An ordered bin of the key, by the mean of both weights' distributions: no bin is expected to hold more than two
-    shares of a source, whatever its documents' weights. Documents of size 0 take no words and stand after all bins."""
+    """An ordered bin of the key, by the mean of the distributions of weights LOW and 1. A weight between them is at most
+    8/3 times as dense there, so no bin is expected to hold more than three shares of a source, whatever its documents'
+    weights. Documents of size 0 take no words and stand after all bins."""
     passed = 1 - (F.exp(-key) + F.exp(-LOW * key)) / 2
     return F.when(size == 0, BINS).otherwise(F.least(F.floor(passed * BINS), F.lit(BINS - 1))).cast("int")
 

@@ -14,12 +14,17 @@ def _uniform(x: str) -> str:
     return x, ",\n".join(steps), f"(({last} + 1) / {m + 1}.0)"
 
 
+def _near(x: str, usual: float, slope: float) -> str:
+    one = "CAST(1 AS DOUBLE)"
+    return f"({one} / ({one} + abs({x} - CAST({usual} AS DOUBLE)) * CAST({slope} AS DOUBLE)))"
+
+
 _X, _STEPS, _U = _uniform("doc_id")
 
 SOURCE_MIXING = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_W})) AS size, length(coalesce(text, '')) AS chars, CAST({_X} AS BIGINT) AS x0 FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_W})) AS size, CAST(length(coalesce(text, '')) AS DOUBLE) AS chars, CAST(len(regexp_extract_all(coalesce(text, ''), '[0-9#*$%&|<>{{}}=@_/]')) AS DOUBLE) AS odd, CAST(len(regexp_extract_all(coalesce(text, ''), '[.!?]')) AS DOUBLE) AS marks, CAST({_X} AS BIGINT) AS x0 FROM documents),
 {_STEPS},
-k AS (SELECT doc_id, source, CAST(size AS BIGINT) AS size, -ln(CAST({_U} AS DOUBLE)) / CASE WHEN CAST(chars AS DOUBLE) / greatest(size, 1) BETWEEN 3.5 AND 12.0 THEN 1.0 ELSE 0.25 END AS key FROM u2),
+k AS (SELECT doc_id, source, CAST(size AS BIGINT) AS size, -ln(CAST({_U} AS DOUBLE)) / (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * ({_near('chars / CAST(greatest(size, 1) AS DOUBLE)', 6.0, 0.125)} * {_near('odd / greatest(chars, CAST(1 AS DOUBLE))', 0.0, 16.0)} * {_near('marks / CAST(greatest(size, 1) AS DOUBLE)', 0.08, 4.0)})) AS key FROM u2),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
 r AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio FROM w),
