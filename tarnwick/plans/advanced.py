@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.operators.asof import asof_merge
 from tarnwick.operators.frames import exclude_frame, groups_frame
+from tarnwick.operators.hashing import near_vectors, similar_sets
 from tarnwick.operators.intervals import interval_join
 from tarnwick.operators.sketches import CountMin
 from tarnwick.operators.vectors import top_products
@@ -128,3 +129,23 @@ def count_min_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cm = CountMin(0.001, 0.99)
     sketch = cm.merged(cm.sketch(lines.where("l_returnflag = 'R'"), "l_partkey"), cm.sketch(lines.where("l_returnflag <> 'R' OR l_returnflag IS NULL"), "l_partkey"))
     return cm.estimates(sketch, lines, "l_partkey").join(lines.groupBy("l_partkey").agg(F.count("*").alias("n")), "l_partkey")
+
+
+@query(None)
+def similar_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who were active on nearly the same days: approximate, so held against all exact pairs in a test."""
+    days = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.date_format("ts", "yyyy-MM-dd")).alias("days"))
+    return similar_sets(days, "days", 0.9)
+
+
+@query(None)
+def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors at most 0.9 apart: approximate, as above."""
+    return near_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "embedding", 0.9, 2.7)
+
+
+@query(None)
+def hash_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that are Spark's own, and soundex; a test computes them anew."""
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.xxhash64("c_name").alias("x"), F.xxhash64("c_custkey").alias("xk"), F.hash("c_custkey").alias("m"), F.soundex("c_mktsegment").alias("s"))

@@ -17,7 +17,7 @@ def rows(columns, data):
     return [columns[i] for i in order], sorted(tuple(cell(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, sf, name):
     db = duckdb.connect()
     for t in TABLES:
