@@ -3,11 +3,12 @@
 Fit (bounded sample): full-dimensional residual codebooks by k-means, then joint least squares of all codebooks given
 the codes, solved a codebook at a time, as additive quantisation has it. Encode: beam search over the codebooks for
 every row; codes and norms are stored. Search, for every query: lookup tables of query-codeword products score all
-codes, scaled by the stored norms; of each block the best few go on, as many as an even dealing of the ``shortlist``
-over the blocks can need; the best ``shortlist`` over all blocks are fetched and scored exactly in double precision.
+codes, scaled by the stored norms; a task keeps the best of a lane of many blocks and hands on as many as an even dealing
+of the ``shortlist`` over the lanes can need; the best ``shortlist`` over all lanes are fetched and scored exactly in
+double precision.
 
 Rows of equal vectors are one entry with their k + 1 smallest ids, and equal queries are searched once: no query can
-need more of such rows, so nothing is lost and a common vector is no hot key. Blocks of codes meet blocks of queries as
+need more of such rows, so nothing is lost and a common vector is no hot key. Lanes of codes meet groups of queries as
 a two-dimensional grid (codes and queries move there, vectors don't); per query the candidates are ranked by a window
 that limits them before they move, and vectors are fetched by a merge join, whose large keys can be split. The work
 grows with rows times queries: the lookup pass reads every code for every query.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 
 
 def sums_by(at: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
@@ -100,10 +101,10 @@ def lookup(queries: np.ndarray, codes: np.ndarray, scale: np.ndarray, books: np.
     return out * scale[:, None]
 
 
-def quota(shortlist: int, blocks: int) -> int:
-    """How many of a block go on: the mean share of the shortlist and three deviations more."""
-    mean = shortlist / blocks
-    return int(np.ceil(mean + 3 * np.sqrt(mean))) + 1 if blocks > 1 else shortlist
+def quota(shortlist: int, lanes: int) -> int:
+    """How many of a lane go on: the mean share of the shortlist and three deviations more."""
+    mean = shortlist / lanes
+    return int(np.ceil(mean + 3 * np.sqrt(mean))) + 1 if lanes > 1 else shortlist
 
 
 def _fixed(a: np.ndarray, width: int) -> pa.Array:
@@ -114,13 +115,13 @@ def _raw(t: pa.Table | pa.RecordBatch, c: str, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(t[c].to_pylist()), kind).reshape(-1, width)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_books: int = 32, n_codes: int = 64, beam: int = 4, most_fitted: int = 8192, block_rows: int = 16_384, query_rows: int = 1024, shortlist: int = 320) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_books: int = 32, n_codes: int = 64, beam: int = 4, most_fitted: int = 8192, block_rows: int = 16_384, query_rows: int = 8192, shortlist: int = 320, lane_blocks: int = 64) -> DataFrame:
     """vectors(vec_id, embedding) -> query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     narrow = "float" in vectors.schema["embedding"].dataType.simpleString()
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if narrow else "array<double>"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    found = [_search(rows.where(F.size("embedding") == d), d, np.float32 if narrow else np.float64, every, k, n_books, n_codes, beam, most_fitted, block_rows, query_rows, shortlist) for (d,) in rows.select(F.size("embedding")).distinct().collect()]
+    found = [_search(rows.where(F.size("embedding") == d), d, np.float32 if narrow else np.float64, every, k, n_books, n_codes, beam, most_fitted, block_rows, query_rows, shortlist, lane_blocks) for (d,) in rows.select(F.size("embedding")).distinct().collect()]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = found[0]
@@ -129,7 +130,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_books: int = 32,
     return out
 
 
-def _search(rows: DataFrame, d: int, kind, every: int, k: int, n_books: int, n_codes: int, beam: int, most_fitted: int, block_rows: int, query_rows: int, shortlist: int) -> DataFrame:
+def _search(rows: DataFrame, d: int, kind, every: int, k: int, n_books: int, n_codes: int, beam: int, most_fitted: int, block_rows: int, query_rows: int, shortlist: int, lane_blocks: int) -> DataFrame:
     """nearest() over usable vectors of one length d."""
     spark, wide = rows.sparkSession, d * np.dtype(kind).itemsize
 
@@ -179,26 +180,33 @@ def _search(rows: DataFrame, d: int, kind, every: int, k: int, n_books: int, n_c
 
     codes = codes.applyInArrow(one_block, "at long, keys binary, codes binary, scales binary")
     queries = classes.where("wanted").select(group.alias("at"), "key", "vector").groupBy("at").applyInArrow(joined(["key", "vector"]), "at long, key binary, vector binary")
-    data = codes.withColumn("g", over(n_groups)).select("g", F.col("at").alias("b"), "keys", "codes", "scales")
-    wanted = queries.withColumn("block", over(n_blocks)).select(F.col("at").alias("group"), "block", "key", "vector")
-    r = quota(shortlist, n_blocks)
+    # A task takes a lane of blocks for one group of queries; lanes beyond those that memory asks for only fill the cluster.
+    n_lanes = max(1, min(n_blocks, max(-(-n_blocks // lane_blocks), -(-partitions(spark) // n_groups))))
+    data = codes.withColumn("g", over(n_groups)).select("g", F.pmod("at", F.lit(n_lanes).cast("long")).alias("b"), "keys", "codes", "scales")
+    wanted = queries.withColumn("lane", over(n_lanes)).select(F.col("at").alias("group"), "lane", "key", "vector")
+    r = quota(shortlist, n_lanes)
 
     def search(data: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["query", "row", "near"]
         if not data.num_rows or not queries.num_rows:
             return pa.table([pa.array([], t) for t in (pa.binary(), pa.binary(), pa.float32())], names=names)
-        own, out = np.frombuffer(data["keys"][0].as_py(), "V16"), []
-        codes, scale = np.frombuffer(data["codes"][0].as_py(), np.uint8).reshape(-1, n_books), np.frombuffer(data["scales"][0].as_py(), np.float32)
-        ids, q = np.frombuffer(queries["key"][0].as_py(), "V16"), np.frombuffer(queries["vector"][0].as_py(), kind).reshape(-1, d).astype(np.float32)
+        blocks = [(np.frombuffer(k, "V16"), np.frombuffer(c, np.uint8).reshape(-1, n_books), np.frombuffer(x, np.float32)) for k, c, x in zip(*(data[c].to_pylist() for c in ("keys", "codes", "scales")), strict=True)]
+        ids, q, out = np.frombuffer(queries["key"][0].as_py(), "V16"), np.frombuffer(queries["vector"][0].as_py(), kind).reshape(-1, d).astype(np.float32), []
         for start in range(0, len(q), 128):
-            near = lookup(q[start : start + 128], codes, scale, books.value).T
-            keep = min(r, near.shape[1])
-            top = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < near.shape[1] else np.tile(np.arange(keep), (len(near), 1))
-            out.append((np.repeat(ids[start : start + 128], keep), own[top.ravel()], np.take_along_axis(near, top, 1).ravel()))
+            part = q[start : start + 128]
+            best, rows_of = np.empty((len(part), 0), np.float32), np.empty((len(part), 0), "V16")
+            for own, codes, scale in blocks:  # the lane's best so far and the block's best, cut to r again
+                near = lookup(part, codes, scale, books.value).T
+                top = np.argpartition(-near, r - 1, axis=1)[:, :r] if r < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
+                best, rows_of = np.hstack([best, np.take_along_axis(near, top, 1)]), np.hstack([rows_of, own[top]])
+                if best.shape[1] > r:
+                    top = np.argpartition(-best, r - 1, axis=1)[:, :r]
+                    best, rows_of = np.take_along_axis(best, top, 1), np.take_along_axis(rows_of, top, 1)
+            out.append((np.repeat(ids[start : start + 128], best.shape[1]), rows_of.ravel(), best.ravel()))
         query, row, near = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table([_fixed(query, 16), _fixed(row, 16), pa.array(near)], names=names)
 
-    near = data.groupBy("g", "b").cogroup(wanted.groupBy("group", "block")).applyInArrow(search, "query binary, row binary, near float")
+    near = data.groupBy("g", "b").cogroup(wanted.groupBy("group", "lane")).applyInArrow(search, "query binary, row binary, near float")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "row"))
     chosen = near.withColumn("place", best).where(F.col("place") <= shortlist).select("query", "row")
 
