@@ -59,9 +59,10 @@ f AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(ar
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
       10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR n_upper > n_lower OR word_chars > 15 * n_words AS soft_failed FROM f),
 o AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed OR soft_failed) AS DOUBLE) AS failed FROM b GROUP BY source),
-m AS (SELECT (sum(failed) + 0.5) / (sum(n) + 1.0) AS mean, sum(failed * failed / n) / sum(n) - (sum(failed) / sum(n)) * (sum(failed) / sum(n)) AS variance FROM o),
-v AS (SELECT mean, greatest(mean * (1 - mean) / greatest(variance, 1e-12) - 1, 0.0) AS strength FROM m),
-rate AS (SELECT source, greatest((failed + mean * strength) / (n + strength), 0.5 / (n + 1)) AS host_rate, mean, sqrt(mean * (1 - mean) / (strength + 1)) AS deviation FROM o, v),
+m AS (SELECT (sum(failed) + 0.5) / (sum(n) + 1.0) AS mean, sum(failed * failed / n) / sum(n) - (sum(failed) / sum(n)) * (sum(failed) / sum(n)) AS variance, (count(*) - 1) / sum(n) AS noise, sum(n * n) / sum(n) / sum(n) AS own FROM o),
+e AS (SELECT mean, variance - noise * mean * (1 - mean) AS between_hosts, mean * (1 - mean) * (1 - own - noise) AS most FROM m),
+v AS (SELECT mean, CASE WHEN between_hosts > 0 AND most > 0 THEN greatest(most / between_hosts - 1, 0.0) END AS strength FROM e),
+rate AS (SELECT source, greatest(CASE WHEN strength IS NULL THEN mean ELSE (failed + mean * strength) / (n + strength) END, 0.5 / (n + 1)) AS host_rate, mean, coalesce(sqrt(mean * (1 - mean) / (strength + 1)), 0) AS deviation FROM o, v),
 scaled AS (SELECT *, mean / host_rate AS scale, host_rate >= 0.5 AND host_rate > mean + 2 * deviation AS host_bad FROM rate)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR host_bad OR 10 * n_symbols > n_words * scale OR 10 * n_dup_lines > 3 * n_lines * scale OR n_upper > n_lower * scale OR word_chars > 15 * (n_words * scale)) AS kept

@@ -2,7 +2,7 @@
 
 Per document: counts of words, symbols, repeated lines and repeated 3-word windows, and rules on them.
 Per host: rule failures are counted over all its documents and the rate is shrunk towards the corpus with a beta
-prior fitted to the hosts' own rates (method of moments). The host verdict goes back to the documents:
+prior fitted to the hosts' own rates (method of moments, sampling noise taken off). The host verdict goes back to the documents:
 
 * a document that fails a base rule is rejected, whatever its host;
 * a host whose shrunk rate is at least ``bad`` and above the prior by ``apart`` of its standard deviations is rejected;
@@ -18,6 +18,7 @@ rows count as often as they occur; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,16 +104,19 @@ def soft_rules(scale: Column) -> Column:
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     """Moments of the hosts' failure rates, weighted by documents, as (mean, strength): alpha + beta is the strength.
 
-    The variance is that of the rates as they are, their sampling noise included, so hosts are shrunk on the mild side.
+    Of the rates' variance, the share that binomial sampling alone would give is taken off (beta-binomial moments), so
+    hosts that differ by no more than chance have an infinite strength: each is taken at the corpus rate.
     hosts: n, failed.
     """
     rate = F.col("failed") / F.col("n")
-    m = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("n") * rate * rate).alias("sq")).first()
+    m = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("n") * rate * rate).alias("sq"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.count("*").alias("hosts")).first()
     if not m["n"]:
         return 0.5, 2.0
     mean = (m["f"] + 0.5) / (m["n"] + 1.0)
     variance = m["sq"] / m["n"] - (m["f"] / m["n"]) ** 2
-    return mean, max(mean * (1 - mean) / max(variance, 1e-12) - 1, 0.0)
+    noise = (m["hosts"] - 1) / m["n"]
+    between, most = variance - noise * mean * (1 - mean), mean * (1 - mean) * (1 - m["nn"] / m["n"] / m["n"] - noise)
+    return mean, (max(most / between - 1, 0.0) if between > 0 and most > 0 else math.inf)
 
 
 def quality_rules(docs: DataFrame, bad: float = 0.5, apart: float = 2.0) -> DataFrame:
@@ -120,7 +124,7 @@ def quality_rules(docs: DataFrame, bad: float = 0.5, apart: float = 2.0) -> Data
     rows = materialize(features(docs), "quality-rules")
     hosts = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed"))
     mean, strength = beta_prior(hosts)
-    rate = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+    rate = F.lit(mean) if math.isinf(strength) else (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     # A host without a failure, in a table whose prior has no strength, is as good as one with half a failure.
     verdicts = hosts.select(F.col("source").alias("host"), F.greatest(rate, F.lit(0.5) / (F.col("n") + 1)).alias("host_rate"))
     deviation = (mean * (1 - mean) / (strength + 1)) ** 0.5

@@ -523,10 +523,29 @@ def test_op10_host_verdicts_change_documents(spark):
     n, failed = collections.Counter(g.source for g in got), collections.Counter(g.source for g in got if g.base_failed or g.soft_failed)
     total, mean = sum(n.values()), (sum(failed.values()) + 0.5) / (sum(n.values()) + 1)
     variance = sum(n[s] * (failed[s] / n[s]) ** 2 for s in n) / total - (sum(failed.values()) / total) ** 2
-    strength = max(mean * (1 - mean) / variance - 1, 0)
+    chance = (len(n) - 1) / total
+    strength = max(mean * (1 - mean) * (1 - sum((k / total) ** 2 for k in n.values()) - chance) / (variance - chance * mean * (1 - mean)) - 1, 0)
     assert all(rate[s] == pytest.approx((failed[s] + mean * strength) / (n[s] + strength)) for s in n)
     assert {g.source for g in got if g.host_bad} == {"bad"} and not any(g.kept for g in got if g.source == "bad")
     assert sum(not g.base_failed and not g.soft_failed for g in got if g.source == "bad") == 4  # rejected with their host alone
     kept = {g.doc_id: g.kept for g in got}
     assert kept[5000] and not kept[5001] and not kept[5002] and not kept[None]  # the same text: spared on the good host alone
     assert all(g.kept for g in got if not g.soft_failed and g.source != "bad")
+
+
+def test_op10_prior_is_the_one_that_drew_the_hosts(spark):
+    """Over many small hosts the fitted strength is near the true one, where the raw variance halves it and more; hosts
+    that differ by chance alone are all at the corpus rate."""
+    r = np.random.default_rng(3)
+    n = r.integers(5, 40, 4000)
+    for strength in (10.0, math.inf):
+        rate = r.beta(0.2 * strength, 0.8 * strength, len(n)) if strength < math.inf else np.full(len(n), 0.2)
+        failed = r.binomial(n, rate)
+        hosts = spark.createDataFrame(list(zip(n.tolist(), failed.tolist(), strict=True)), "n long, failed long")
+        mean, fitted = quality_rules.beta_prior(hosts)
+        assert mean == pytest.approx(0.2, abs=0.01)
+        assert 8 < fitted < 12.5 if strength < math.inf else fitted > 150
+        raw = np.average((failed / n - failed.sum() / n.sum()) ** 2, weights=n)
+        assert mean * (1 - mean) / raw - 1 < 0.75 * min(fitted, 12.5) or strength == math.inf
+    one = spark.createDataFrame([(i, "s", prose(i, 60) + " #" * (20 * (i % 4 == 0))) for i in range(20)], "doc_id long, source string, text string")
+    assert {(g.host_scale, g.host_bad, g.kept == (not g.soft_failed)) for g in quality_rules.quality_rules(one).collect()} == {(1.0, False, True)}
