@@ -21,7 +21,9 @@ earlier uses among i tokens of t types,
     P(w | history) = (max(h - copy_discount, 0) + (prior + copy_discount * t) * P_z(w)) / (i + prior)
 
 A document's score is the sum of log10 of that over its words and the end token, and of its class's share: its marginal
-over all paths. The base score is add-0.5 smoothing over the same counts. The discounts, prior and strength were chosen
+over all paths. ``added`` names the edges that stand beside the lattice's own ("words", "stems", "classes", "copies"); a
+level left out passes its whole weight on to the next, so with added=() and rounds=0 the file's weights alone speak:
+P(w) = P_lattice(stem) * P(tail). The base score is add-0.5 smoothing over the same counts. The discounts, prior and strength were chosen
 on fold 2 with the held-out fold put away.
 
 Layout: a task turns its documents into blocks; each block deals its distinct words (with their counts by class and the
@@ -52,6 +54,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = string.punctuation.encode()
 _STATE = {c: i + 1 for i, c in enumerate(_MARKS)}
 STATES = len(_MARKS) + 1
+#: Edges that may be added to the lattice's own.
+ADDED = ("words", "stems", "classes", "copies")
 
 
 class _Ids(dict):
@@ -287,7 +291,7 @@ def document_classes(d: DataFrame, classes: int, rounds: int = 3, drawn: int = 6
     return means, shares / shares.sum()
 
 
-def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float, means: np.ndarray, shares: np.ndarray):
+def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float, means: np.ndarray, shares: np.ndarray, copies: bool = True):
     """Documents -> rows (bucket, block, kind, words, a, b, c, d, e, f); kind 1 holds a block's documents.
 
     a: training counts of the bucket's pairs of a word and a class, f: the pairs (word * classes + class); b, c, d, e:
@@ -308,8 +312,8 @@ def _blocks(n_buckets: int, keys: list[int], copy_discount: float, prior: float,
                 words.append(b"")
                 uses.append(history(np.fromiter(map(index.__getitem__, words), np.int32, len(words)), copy_discount, prior))
                 n_tokens.append(len(words))
-                z.append(int(nearest_class(byte_pairs(x.as_py())[None], means)[0]))
-                fixed.append(uses[-1][3] + log_shares[z[-1]])
+                z.append(int(nearest_class(byte_pairs(x.as_py())[None], means)[0]) if classes > 1 else 0)
+                fixed.append((uses[-1][3] if copies else 0.0) + log_shares[z[-1]])
             which = np.concatenate([u[0] for u in uses])
             times = np.concatenate([u[1] for u in uses])
             later = np.concatenate([u[2] for u in uses])
@@ -412,13 +416,17 @@ def _words(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
     return (zstandard.decompress(words).split(b"\n") if len(c) else []), c
 
 
-def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, strength: float = 100.0, discount: float = 0.7, copy_discount: float = 0.95, prior: float = 100.0, classes: int = 8, held_fold: int = 1) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, strength: float = 100.0, discount: float = 0.7, copy_discount: float = 0.95, prior: float = 100.0, classes: int = 8, held_fold: int = 1, added: tuple[str, ...] = ADDED) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    if set(added) - set(ADDED):
+        raise ValueError(f"added is made of {ADDED}")
+    classes = classes if "classes" in added else 1
+    copies = "copies" in added
     n_buckets = partitions(spark)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == held_fold, F.lit(False)).alias("held_out"), F.col("text").cast("binary"))
-    means, shares = document_classes(d, classes)
-    dealt = d.mapInArrow(_blocks(n_buckets, even_keys(n_buckets, n_buckets), copy_discount, prior, means, shares), "bucket long, block long, kind int, words binary, " + ", ".join(f"{c} binary" for c in "abcdef"))
+    means, shares = document_classes(d, classes) if classes > 1 else (np.zeros((1, PAIRS), np.float32), np.ones(1))
+    dealt = d.mapInArrow(_blocks(n_buckets, even_keys(n_buckets, n_buckets), copy_discount, prior, means, shares, copies), "bucket long, block long, kind int, words binary, " + ", ".join(f"{c} binary" for c in "abcdef"))
     counted = materialize(dealt.groupBy("bucket").applyInArrow(_count(classes), _COUNTED), "lattice-counts")
     once = counted.where("first")
     total, types, n_stems = (int(x or 0) for x in once.agg(F.sum("n"), F.sum("v"), F.sum("s")).first())
@@ -459,14 +467,16 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, strength: float
                 found = Stems(words, c)
                 known_stems = sum(np.maximum(k - discount, 0) / n / 2 for k, n in zip((found.tokens, found.types), sums_of, strict=True))
                 with np.errstate(divide="ignore"):
-                    left = np.log(sum(discount * max(1, n_stems) / n / 2 for n in sums_of))
-                    unseen = np.logaddexp(np.log(known_stems), left + lattice.forward(found.stems))[found.of] + found.tail_logs(chain)
-                    seen = np.log(np.maximum(c - discount, 0) / max(1, total))
-                    log_p = np.logaddexp(seen, np.log(discount * max(1, types) / max(1, total)) + unseen)
+                    stems = lattice.forward(found.stems)
+                    if "stems" in added:
+                        stems = np.logaddexp(np.log(known_stems), np.log(sum(discount * max(1, n_stems) / n / 2 for n in sums_of)) + stems)
+                    log_p = stems[found.of] + found.tail_logs(chain)
+                    if "words" in added:
+                        log_p = np.logaddexp(np.log(np.maximum(c - discount, 0) / max(1, total)), np.log(discount * max(1, types) / max(1, total)) + log_p)
                     pairs, n = _open(row["pairs"], "<i8"), _open(row["pair_counts"], "<i8")
                     word, own = pairs // classes, pairs % classes
                     in_class = np.logaddexp(np.log(np.maximum(n - discount, 0)), np.log(discount * class_v[own]) + log_p[word]) - np.log(np.maximum(class_n[own], 1))
-                lp = np.where(class_n[own] > 0, in_class, log_p[word]) / np.log(10)
+                lp = np.where((class_n[own] > 0) & (classes > 1), in_class, log_p[word]) / np.log(10)
                 base, known, p = np.log10(c + 0.5)[word], (c > 0)[word].astype(float), 10.0**lp
                 out = []
                 for block, kind, x, y, z, t, e in zip(row["blocks"], row["kinds"], *(row[k] for k in "abcde"), strict=True):
@@ -478,7 +488,7 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, strength: float
                     sums = [np.bincount(at, v[which] * k, minlength=len(own)) for v, k in ((base, times), (known, times), (lp, 1))]
                     pair = np.repeat(np.arange(len(which)), times - 1)
                     h = np.arange(len(pair)) - np.repeat(np.cumsum(times - 1) - (times - 1), times - 1) + 1
-                    later = np.log10(h - copy_discount + (prior + copy_discount * types_before) * p[which[pair]])
+                    later = np.log10(h - copy_discount + (prior + copy_discount * types_before) * p[which[pair]]) if copies else lp[which[pair]]
                     sums[2] += np.bincount(at[pair], later, minlength=len(own))
                     out.append((block, 0, *_press(own.astype(np.int32), sums[0], sums[1].astype(np.int32), sums[2]), b""))
                 for i in range(0, len(out), 256):

@@ -292,13 +292,13 @@ def test_op6_long_pieces_of_the_file_are_edges():
             assert lattice.forward([p[1:]])[0] == pytest.approx(math.log(sums[-1]))
 
 
-@pytest.mark.parametrize("rounds", [0, 4])
-def test_op6_score_is_the_stated_formula(spark, rounds):
+@pytest.mark.parametrize("rounds, added", [(0, lattice_lm.ADDED), (4, lattice_lm.ADDED), (0, ()), (1, ("words", "classes")), (1, ("stems", "copies"))])
+def test_op6_score_is_the_stated_formula(spark, rounds, added):
     """Every document's score by the docstring's formula, word by word: with the file's own weights, and at production
-    settings with plain Python's expectation maximisation."""
+    settings with plain Python's expectation maximisation; with all added edges, some and none."""
     texts = {i: t for i, t in enumerate(["nation and, and! nation", "And nation, ... land's", "", "sea, land sea!!! nation, nation", "unseen, unseen. and... sea?", "der wald und der see, und der weg", "der weg. und wald, wald"] * 2)}
     docs = spark.createDataFrame([(i, t, 1, b"", 0.5, True) for i, t in texts.items()], "doc_id long, text string, words int, counts binary, score double, held_out boolean").repartition(2)
-    got = {r.doc_id: r.score for r in lattice_lm.lattice_scores(docs, PIECES, rounds=rounds).collect()}
+    got = {r.doc_id: r.score for r in lattice_lm.lattice_scores(docs, PIECES, rounds=rounds, added=added).collect()}
     held = {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 1}
     words = {i: [*t.encode().lower().split(), b""] for i, t in texts.items()}
     d = docs.select("doc_id", F.col("doc_id").isin(list(held)).alias("held_out"), F.col("text").cast("binary").alias("text"))
@@ -346,15 +346,15 @@ def test_op6_score_is_the_stated_formula(spark, rounds):
         tail = [0, *w[len(stem(w)) :], 0]
         p_tail = math.prod((steps[x, y] + 0.1) / (rows[x] + 3.3) for x, y in zip(tail, tail[1:]))
         spelled = sums(b" " + stem(w), weight)[0][-1]
-        p_stem = sum(max(k[stem(w)] - 0.7, 0) / m + 0.7 * len(kinds) / m * spelled for k, m in ((tokens, n), (kinds, v))) / 2
-        p = max(c[w] - 0.7, 0) / n + 0.7 * v / n * p_stem * p_tail
-        own = sum(in_class[k].values())
+        p_stem = sum(max(k[stem(w)] - 0.7, 0) / m + 0.7 * len(kinds) / m * spelled for k, m in ((tokens, n), (kinds, v))) / 2 if "stems" in added else spelled
+        p = max(c[w] - 0.7, 0) / n + 0.7 * v / n * p_stem * p_tail if "words" in added else p_stem * p_tail
+        own = sum(in_class[k].values()) if "classes" in added else 0
         return (max(in_class[k][w] - 0.7, 0) + 0.7 * len(in_class[k]) * p) / own if own else p
 
     for i, ws in words.items():
-        want, seen = math.log10(shares[z[i]]), collections.Counter()
+        want, seen = math.log10(shares[z[i]]) if "classes" in added else 0.0, collections.Counter()
         for at, w in enumerate(ws):
-            want += math.log10((max(seen[w] - 0.95, 0) + (100 + 0.95 * len(seen)) * p_of(w, z[i])) / (at + 100))
+            want += math.log10((max(seen[w] - 0.95, 0) + (100 + 0.95 * len(seen)) * p_of(w, z[i])) / (at + 100) if "copies" in added else p_of(w, z[i]))
             seen[w] += 1
         assert got[i] == pytest.approx(want, abs=1e-5), i
 
