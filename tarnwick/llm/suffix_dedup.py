@@ -422,7 +422,11 @@ def _apply(width: int, with_text: bool):
 
 
 def heavy_anchors(docs: DataFrame, width: int, most: int, bits: int = 20) -> np.ndarray:
-    """Which cells of the anchors' low bits hold over most pieces more than the median cell, counted over all documents."""
+    """Which cells of the anchors' low bits hold too many pieces, counted over all documents.
+
+    Too many is over most, and over a quarter of the median cell, more than the median: where cells are full, pieces
+    that come in copies make their counts uneven, and an anchor of less is small beside the bucket that it lies in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.uint32)
@@ -438,7 +442,17 @@ def heavy_anchors(docs: DataFrame, width: int, most: int, bits: int = 20) -> np.
     counted = materialize(docs.select("text").mapInArrow(run, "n long, payload binary"), "suffix-sketch")
     counts = summed(counted, bits).astype(np.int64)
     discard(counted)
-    return counts - int(np.median(counts)) > most
+    return hot_cells(counts, most)
+
+
+def hot_cells(counts: np.ndarray, most: int) -> np.ndarray:
+    usual = int(np.median(counts))
+    return counts - usual > max(most, usual // 4)
+
+
+def sketch_bits(n_buckets: int) -> int:
+    """At least four cells a bucket, so that no cell outweighs the bucket its anchors go to; 2^20 or more."""
+    return max(20, (4 * n_buckets - 1).bit_length())
 
 
 def _bucketed(df: DataFrame, key: str, n: int, tag: str) -> DataFrame:
@@ -457,7 +471,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False, most: in
         raise ValueError(f"width is a multiple of 8 and at least {2 * K}")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     p = partitions(spark)
-    heavy = spark.sparkContext.broadcast(heavy_anchors(docs, width, most))
+    heavy = spark.sparkContext.broadcast(heavy_anchors(docs, width, most, sketch_bits(4 * p)))
     blocks = _bucketed(docs.mapInArrow(_blocks(width, heavy), _BLOCK), "block", p, "suffix_blocks")
     dealt = blocks.select("block", "anchors", "hashes", "weights").mapInArrow(_deal(4 * p, even_keys(4 * p, p)), "bucket long, block long, anchors binary, hashes binary, weights binary, local binary")
     decided = materialize(dealt.groupBy("bucket").applyInArrow(_decide, _DECIDED), "suffix-pieces")

@@ -87,6 +87,20 @@ def neighbours(rows, every=20, k=20):
 ANN = "vec_id long, embedding array<float>, key string, query_id int, ids array<int>"
 
 
+def test_op1_cells_are_hot_beside_their_neighbours():
+    """Cells of a million pieces that come in copies are not hot by their noise, one with a frequent anchor is."""
+    r = np.random.default_rng(5)
+    counts = (r.poisson(1_000_000 / 300, 1 << 14) * 300).astype(np.int64)  # copies of 300
+    assert (counts - int(np.median(counts)) > 8192).any() and not suffix_dedup.hot_cells(counts, 8192).any()
+    counts[77] += 400_000
+    assert np.flatnonzero(suffix_dedup.hot_cells(counts, 8192)).tolist() == [77]
+    few = np.zeros(1 << 14, np.int64)
+    few[5], few[6] = 8193, 8192
+    assert np.flatnonzero(suffix_dedup.hot_cells(few, 8192)).tolist() == [5]
+    for buckets in (1, 844, 1 << 18, 800_000, 5_000_000):
+        assert (1 << suffix_dedup.sketch_bits(buckets)) >= max(1 << 20, 4 * buckets)
+
+
 def test_op2(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((900, 16)).astype(np.float32)
