@@ -4,8 +4,8 @@ The pieces of an existing subword vocabulary, weighted by its own scores, give e
 log-space forward recursion over byte positions sums them. The file's scores are ranks, taken by Zipf's law as weights
 1 / (rank + 10). In addition ``rounds`` of expectation maximisation over the stems of all training documents adapt the
 weights, with the given ones as their prior (``strength`` uses); with rounds=0 they are the file's alone. A word is a
-stem and a tail, its closing run of ASCII punctuation (a word of nothing else is a stem). Seen words and seen stems
-have edges of their own, at two levels, the corpus and the document's class z:
+stem and a tail, its closing run of ASCII punctuation (a word of nothing else is a stem). Seen stems have edges of their
+own, and so may seen words, at two levels, the corpus and the document's class z:
 
     P_z(w)  = max(c_z(w) - discount, 0) / N_z + discount * V_z / N_z * P(w)
     P(w)    = max(c(w) - discount, 0) / N + discount * V / N * P(stem) * P(tail)
@@ -23,7 +23,7 @@ earlier uses among i tokens of t types,
 A document's score is the sum of log10 of that over its words and the end token, and of its class's share: its marginal
 over all paths. ``added`` names the edges that stand beside the lattice's own ("words", "stems", "classes", "copies"); a
 level left out passes its whole weight on to the next, so with added=() and rounds=0 the file's weights alone speak:
-P(w) = P_lattice(stem) * P(tail). The base score is add-0.5 smoothing over the same counts. The discounts, prior and strength were chosen
+P(w) = P_lattice(stem) * P(tail). Words have no edges of their own unless asked for: on fold 2 they lower the sum. The base score is add-0.5 smoothing over the same counts. The discounts, prior and strength were chosen
 on fold 2 with the held-out fold put away.
 
 Layout: a task turns its documents into blocks; each block deals its distinct words (with their counts by class and the
@@ -54,8 +54,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = string.punctuation.encode()
 _STATE = {c: i + 1 for i, c in enumerate(_MARKS)}
 STATES = len(_MARKS) + 1
-#: Edges that may be added to the lattice's own.
-ADDED = ("words", "stems", "classes", "copies")
+#: Edges that may be added to the lattice's own, and those that are unless others are named.
+EDGES = ("words", "stems", "classes", "copies")
+ADDED = ("stems", "classes", "copies")
 
 
 class _Ids(dict):
@@ -419,8 +420,8 @@ def _words(words: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
 def lattice_scores(docs: DataFrame, path: str, rounds: int = 4, strength: float = 100.0, discount: float = 0.7, copy_discount: float = 0.95, prior: float = 100.0, classes: int = 8, held_fold: int = 1, added: tuple[str, ...] = ADDED) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    if set(added) - set(ADDED):
-        raise ValueError(f"added is made of {ADDED}")
+    if set(added) - set(EDGES):
+        raise ValueError(f"added is made of {EDGES}")
     classes = classes if "classes" in added else 1
     copies = "copies" in added
     n_buckets = partitions(spark)

@@ -306,7 +306,7 @@ def test_op6_long_pieces_of_the_file_are_edges():
             assert lattice.forward([p[1:]])[0] == pytest.approx(math.log(sums[-1]))
 
 
-@pytest.mark.parametrize("rounds, added", [(0, lattice_lm.ADDED), (4, lattice_lm.ADDED), (0, ()), (1, ("words", "classes")), (1, ("stems", "copies"))])
+@pytest.mark.parametrize("rounds, added", [(0, lattice_lm.EDGES), (4, lattice_lm.EDGES), (4, lattice_lm.ADDED), (0, ()), (1, ("words", "classes")), (1, ("stems", "copies"))])
 def test_op6_score_is_the_stated_formula(spark, rounds, added):
     """Every document's score by the docstring's formula, word by word: with the file's own weights, and at production
     settings with plain Python's expectation maximisation; with all added edges, some and none."""
