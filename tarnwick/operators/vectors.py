@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and probes that are rescored at once.
-BLOCK, COLUMNS = 2048, 32
+#: Rows of a block, probes that a block is multiplied with at once, and probes that are rescored at once.
+BLOCK, PROBES, COLUMNS = 2048, 1024, 32
 
 
 class Best:
@@ -75,7 +75,7 @@ def top_products(base: DataFrame, probes: DataFrame, k: int, other: bool = False
     other: not the row of the probe's own id. Vectors that are null or empty, or hold a null or a number that is not
     finite, take no part; vectors of unlike lengths don't meet. Ids are whole and not null.
 
-    No pair is stored: a task keeps k rows a probe. Probes of at most ``memory`` bytes are broadcast and base is read
+    No pair is stored: a task keeps k rows a probe and holds the products of one block with PROBES probes. Probes of at most ``memory`` bytes are broadcast and base is read
     where it lies. More probes are dealt in stripes, and base too, so that a stripe of either is at most ``memory``
     bytes, and every stripe of one meets every stripe of the other in a task of its own.
     """
@@ -93,7 +93,7 @@ def top_products(base: DataFrame, probes: DataFrame, k: int, other: bool = False
         shared = spark.sparkContext.broadcast(packed)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = [(d, Best(ids, q, k, other)) for d, ids, q in shared.value]
+            best = [(d, Best(ids[at : at + PROBES], q[at : at + PROBES], k, other)) for d, ids, q in shared.value for at in range(0, len(ids), PROBES)]
             for batch in batches:
                 for d, ids, rows in _by_length(batch.column(0), batch.column(1)):
                     for length, b in best:
@@ -114,8 +114,8 @@ def top_products(base: DataFrame, probes: DataFrame, k: int, other: bool = False
             one = lambda t: _by_length(*(t.column(c).combine_chunks() for c in ("id", "vector")))
             base_of = {d: (ids, x) for d, ids, x in one(rows)} if len(rows) else {}
             for d, ids, q in one(asked) if len(asked) else ():
-                for at in range(0, len(ids), 1024):
-                    b = Best(ids[at : at + 1024], q[at : at + 1024], k, other)
+                for at in range(0, len(ids), PROBES):
+                    b = Best(ids[at : at + PROBES], q[at : at + PROBES], k, other)
                     if d in base_of:
                         b.add(*base_of[d])
                     found.append(b.rows())
