@@ -110,7 +110,8 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 def inactivity(events: DataFrame, by: str, at: str, gap_ms: int, seen: DataFrame | None = None) -> DataFrame:
     """A row (by, last_seen) for each time of a key that no row follows within the gap, once the watermark is past its end.
 
-    An event-time timer stands at the end of each time's gap; when it fires, the state tells whether a row came meanwhile.
+    A key has one event-time timer, at the end of its first open gap; when it fires, all gaps that are over by then come out
+    at once and the timer moves to the next, so calls grow with keys and batches and not with rows.
     Rows may come out of order within the watermark's delay: the state keeps the times that late rows may still need and
     those whose timers are to come, and drops the others. seen(by, last_seen): initial state, such as an earlier run's
     last times. Rows of null time are ignored.
@@ -119,38 +120,54 @@ def inactivity(events: DataFrame, by: str, at: str, gap_ms: int, seen: DataFrame
     gap = gap_ms * 1000
     micros = lambda s: s.dropna().astype("datetime64[us, UTC]" if s.dt.tz is not None else "datetime64[us]").astype("int64")
 
+    def ends(times: list[int]) -> list[int]:
+        """Those of the sorted times that no other follows within the gap."""
+        return [t for t, after in zip(times, [*times[1:], None], strict=True) if after is None or after > t + gap]
+
+    due = lambda t: -(-(t + gap) // 1000)
+
     class Idle(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle, self.times = handle, handle.getValueState("times", "times array<long>")
 
         def _held(self) -> list[int]:
-            return list(self.times.get()[0]) if self.times.exists() else []
+            held = self.times.get()
+            return list(held[0]) if held else []
 
         def _add(self, new: set[int], watermark: int) -> None:
             held = self._held()
             times = sorted({*held, *new})
-            last = {t for t, after in zip(times, [*times[1:], None], strict=True) if after is None or after > t + gap}
-            for t in last & new:
-                self.handle.registerTimer(-(-(t + gap) // 1000))
-            self.times.update(([t for t in times if t in last or t >= watermark * 1000],))
+            last = ends(times)
+            before = due(ends(held)[0]) if held else None
+            if due(last[0]) != before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(due(last[0]))
+            wanted = set(last)
+            self.times.update(([t for t in times if t in wanted or t >= watermark * 1000],))
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
             new = {int(t) for f in rows for t in micros(f[at])}
             if new:
                 self._add(new, timerValues.getCurrentWatermarkInMs())
-            yield pd.DataFrame()
+            return iter(())
 
         def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-            self._add({int(t) for t in micros(initialState["last_seen"])}, 0)
+            new = {int(t) for t in micros(initialState["last_seen"])}
+            if new:
+                self._add(new, 0)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-            due = expiredTimerInfo.getExpiryTimeInMs()
-            held = self._held()
-            over = [t for i, t in enumerate(held) if -(-(t + gap) // 1000) == due and (i + 1 == len(held) or held[i + 1] > t + gap)]
-            watermark = timerValues.getCurrentWatermarkInMs() * 1000
-            kept = [t for i, t in enumerate(held) if t not in over and (t >= watermark or i + 1 == len(held) or held[i + 1] > t + gap)]
+            watermark, held = timerValues.getCurrentWatermarkInMs(), self._held()
+            last = ends(held)
+            over = [t for t in last if due(t) <= watermark]
+            wanted = set(last[len(over) :])
+            kept = [t for t in held if t in wanted or (t >= watermark * 1000 and t not in over)]
+            if wanted:
+                self.handle.registerTimer(due(last[len(over)]))
             self.times.update((kept,)) if kept else self.times.clear()
-            yield pd.DataFrame({by: [key[0]] * len(over), "last_seen": pd.to_datetime(over, unit="us", utc=True)}) if over else pd.DataFrame()
+            if over:
+                yield pd.DataFrame({by: [key[0]] * len(over), "last_seen": pd.to_datetime(over, unit="us", utc=True)})
 
         def close(self) -> None:
             pass
