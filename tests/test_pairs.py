@@ -31,3 +31,12 @@ def test_vectors(spark, most_rows):
     got = {(p.a, p.b) for p in near_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "v", 0.5, most_rows).collect()}
     d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
     assert got == {(i, j) for i in range(900) for j in range(i + 1, 900) if d[i, j] <= 0.5} | {(2003, 2004)}
+
+
+def test_all_pairs_of_users(spark, sf):
+    days = {}
+    for r in catalog.table(spark, sf, "events").selectExpr("user_id", "CAST(ts AS DATE) AS d").distinct().collect():
+        days.setdefault(r.user_id, set()).add(r.d)
+    first = sorted({frozenset(days[u]): u for u in sorted(days, reverse=True)}.values())
+    got = {(p.a, p.b) for p in catalog.QUERIES["similar_users"](spark, sf).collect()}
+    assert got == {(a, b) for a in first for b in first if a < b and len(days[a] & days[b]) >= 0.9 * len(days[a] | days[b])}
