@@ -80,10 +80,11 @@ def _framed(groups: DataFrame, keys: list[str], parts: dict[str, tuple[str, str]
     return own.select(*keys, "_o", *parts)
 
 
-def exclude_frame(df: DataFrame, by: list[str], order: str, then: list[str], aggregates: dict[str, tuple[str, str]], kind: str, start: int | None, end: int | None, exclude: str) -> DataFrame:
+def exclude_frame(df: DataFrame, by: list[str], order: str, then: list[str], aggregates: dict[str, tuple[str, ...]], kind: str, start: int | None, end: int | None, exclude: str = "no others") -> DataFrame:
     """df with fn(value) OVER (PARTITION BY by ORDER BY order kind BETWEEN start AND end EXCLUDE exclude) as alias.
 
-    aggregates: alias -> (sum, count, min, max, first or last; column). kind: rows or range. start: None for UNBOUNDED
+    aggregates: alias -> (sum, count, min, max, first or last; column), or with an exclude of its own as third; together
+    they share their windows and sorts. kind: rows or range. start: None for UNBOUNDED
     PRECEDING, 0 or -n; end: None, 0 or n; offsets of a range need an order of whole numbers. exclude: current row,
     group, ties or no others. ``then``: columns that with order make rows of a key unique; they decide the order of peers.
 
@@ -117,7 +118,7 @@ def exclude_frame(df: DataFrame, by: list[str], order: str, then: list[str], agg
     def total_of(value: str) -> str:
         return df.select(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
 
-    def side(fn: str, value: str, bound: int | None, behind: bool) -> Column | None:
+    def side(fn: str, value: str, bound: int | None, behind: bool, exclude: str) -> Column | None:
         """The frame's part before or behind the current row, without its peers where those are left out."""
         if bound == 0:
             return None
@@ -130,7 +131,7 @@ def exclude_frame(df: DataFrame, by: list[str], order: str, then: list[str], agg
             return F.when(F.col(order).isNotNull(), over(fn, value, whole.orderBy(order).rangeBetween(first, last)))
         return listed(fn, value, first, last, behind) if peers else over(fn, value, up.rowsBetween(first, last))
 
-    def middle(fn: str, value: str) -> list[Column]:
+    def middle(fn: str, value: str, exclude: str) -> list[Column]:
         own = F.struct(value) if fn in ("first", "last") else F.col(value).isNotNull().cast("long") if fn == "count" else F.col(value)
         if exclude == "group":
             return []
@@ -140,8 +141,10 @@ def exclude_frame(df: DataFrame, by: list[str], order: str, then: list[str], agg
         others = [over(fn, value, peers.orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)) for turn in ([F.col(c).asc() for c in then], [F.col(c).desc() for c in then])]
         return others if exclude == "current row" else [others[0], own, others[1]]
 
-    def result(fn: str, value: str) -> Column:
-        parts = [p for p in (side(fn, value, start, False), *middle(fn, value), side(fn, value, end, True)) if p is not None]
+    def result(fn: str, value: str, exclude: str = exclude) -> Column:
+        if exclude not in ("current row", "group", "ties", "no others"):
+            raise ValueError(f"exclude: {exclude}")
+        parts = [p for p in (side(fn, value, start, False, exclude), *middle(fn, value, exclude), side(fn, value, end, True, exclude)) if p is not None]
         if not parts:
             return F.lit(0).cast("long") if fn == "count" else F.lit(None).cast(df.schema[value].dataType)
         if fn in ("first", "last"):
@@ -149,7 +152,7 @@ def exclude_frame(df: DataFrame, by: list[str], order: str, then: list[str], agg
         both = reduce(lambda a, b: _two(fn, a, b), parts)
         return F.coalesce(both, F.lit(0)) if fn == "count" else both
 
-    return d.withColumns({alias: result(fn, value) for alias, (fn, value) in aggregates.items()}).drop("_g")
+    return d.withColumns({alias: result(*of) for alias, of in aggregates.items()}).drop("_g")
 
 
 def sum_excluding_current(value: str, window: Window) -> Column:
