@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.plans.registry import query
-from tarnwick.sources import read, read_jdbc, scratch, table, write, write_jdbc
+from tarnwick.sources import read, scratch, table, write
 from tarnwick.sources.calendar import Calendar
+from tarnwick.sources.embedded import read_databases, write_databases
 from tarnwick.sources.ledger import Ledger
 
 
@@ -165,7 +166,6 @@ def python_data_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def jdbc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through the database in Spark's jars, in the driver's memory: for a local master alone."""
-    url, name = "jdbc:derby:memory:tarnwick;create=true", "customer_" + scratch(spark, "x")[-32:]
-    write_jdbc(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal").coalesce(2), url, name)
-    return read_jdbc(spark, url, name, "c_custkey", 4)
+    """Through the database in Spark's jars: loaded and read by the executors, a part each."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return read_databases(spark, write_databases(df, scratch(spark, "jdbc"), "customer"), "customer", df.schema)
